@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_output
+from . import embedding_dedup, packing, simhash_dedup, token_output
 from .util import read
 
 
@@ -10,10 +10,18 @@ def op1_token_output(spark, sf_dir):
     return token_output.op1(spark, read(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.op2(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.op5(spark, read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.op10(spark, read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
