@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, packing, simhash_dedup, token_output
+from . import embedding_dedup, lm_scoring, packing, simhash_dedup, token_output, toxicity
 from .util import read
 
 
@@ -14,10 +14,18 @@ def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.op2(spark, read(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.op3(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.op5(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lm_scoring.op9(spark, read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark, sf_dir):
     return simhash_dedup.op10(spark, read(spark, sf_dir, "documents"))
 
