@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, lm_scoring, packing, simhash_dedup, token_output, toxicity
+from . import chat_format, embedding_dedup, lm_scoring, packing, quality_rules, simhash_dedup, token_output, toxicity
 from .util import read
 
 
@@ -22,6 +22,14 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.op5(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark, sf_dir):
+    return chat_format.op7(spark, read(spark, sf_dir, "conversations"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.op8(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return lm_scoring.op9(spark, read(spark, sf_dir, "documents"))
 
@@ -35,4 +43,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op7_chat_format": chat_format.OP7_SQL}
