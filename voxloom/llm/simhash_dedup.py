@@ -121,13 +121,12 @@ def _links(max_bits: int, n_pivots: int):
         held, n = [], 0
 
         def arrays():
-            t = pa.Table.from_batches(held)
-            return [t[c].to_numpy() for c in ("key", "fp", "rep")]
+            return [np.concatenate(c) for c in zip(*held)]
 
         for b in it:
             if not b.num_rows:
                 continue
-            held.append(b)
+            held.append([b.column(c).to_numpy() for c in range(3)])
             n += b.num_rows
             if n < BUFFER_ROWS:
                 continue
@@ -137,7 +136,7 @@ def _links(max_bits: int, n_pivots: int):
                 yield out
             d0 = np.bitwise_count(fp ^ table[0]).astype(np.int16)
             tail = (key == key[-1]) & (d0 >= d0[-1] - max_bits)
-            held = [pa.RecordBatch.from_arrays([pa.array(key[tail]), pa.array(fp[tail].view(np.int64)), pa.array(rep[tail])], ["key", "fp", "rep"])]
+            held = [[key[tail], fp[tail].view(np.int64), rep[tail]]]
             n = 0
         if held:
             key, fp, rep = arrays()
