@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, lm_scoring, packing, quality_rules, simhash_dedup, token_output, toxicity
+from . import chat_format, embedding_dedup, line_dedup, lm_scoring, mixing, packing, quality_rules, simhash_dedup, token_output, toxicity
 from .util import read
 
 
@@ -18,10 +18,18 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.op3(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.op4(spark, read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.op5(spark, read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.op6(spark, read(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark, sf_dir):
     return chat_format.op7(spark, read(spark, sf_dir, "conversations"))
 
@@ -43,4 +51,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_chat_format": chat_format.OP7_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op7_chat_format": chat_format.OP7_SQL}
