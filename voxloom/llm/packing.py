@@ -30,15 +30,14 @@ _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pi
 def _cut(path: str, end: int, size: int):
     def run(it):
         enc = tokens.encoder(path)
-        tail = np.array([end], "<u4").tobytes()
-        for b in batches(it):
-            rows = []
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                raw += tail
-                n, at, k = len(raw) // 4, 0, 0
-                while at < n:
-                    to = at + ((n - at) % size or size) if k == 0 else at + size
-                    rows.append((d, k, at, to - at, zlib.crc32(raw[4 * at : 4 * to])))
+        for b in batches(it, 4096, 16 << 20):
+            starts, ids = enc.encode(b.column(1), end)
+            raw, rows = memoryview(ids.tobytes()), []
+            for d, first, last in zip(b.column(0).to_pylist(), starts.tolist(), starts[1:].tolist()):
+                at, k = first, 0
+                while at < last:
+                    to = at + ((last - at) % size or size) if k == 0 else at + size
+                    rows.append((d, k, at - first, to - at, zlib.crc32(raw[4 * at : 4 * to])))
                     at, k = to, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], _PIECES.names)
 

@@ -1,21 +1,24 @@
 """Byte-level BPE through the tokenizers library, with a bounded memo of space-led pieces.
 
 The vocabulary's splitting pattern always cuts before a space that a non-space character
-follows, so a text may be cut there and each piece encoded by itself. Words repeat, so most
-pieces come from the memo; unknown ones are encoded together in one call per batch.
-Texts in which white space follows a space are encoded whole.
+follows, so a text may be cut there and each piece encoded by itself. The pieces of a batch
+are dictionary-encoded; each distinct one is looked up once, unknown ones go through the
+tokenizer in one call, and the ids are gathered back in the order of the text. Texts in
+which white space follows a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-_ODD = re.compile(r" (?=\s|$)")
+#: White space, or the end, after a space.
+_ODD = " ([\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 _encoders: dict = {}
 
 
@@ -26,46 +29,84 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.memo, self.limit = {}, memo
-        size = self.tok.get_vocab_size()
-        self.space_led = np.zeros(size, bool)
+        self.space_led = np.zeros(self.tok.get_vocab_size(), bool)
         for piece, i in self.tok.get_vocab().items():
             self.space_led[i] = piece.startswith("Ġ")
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        e = self.tok.encode(" " + " ".join(pieces), add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        at = np.append(np.flatnonzero(self.space_led[ids]), len(ids)) * 4
-        raw, at = ids.tobytes(), at.tolist()
-        if len(at) != len(pieces) + 1:
-            raise AssertionError("a piece has not exactly one space-led token")
-        self.memo.update(zip(pieces, [raw[a:b] for a, b in zip(at, at[1:])]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _learn(self, words: list[str]) -> None:
+        """A word and one sign are two words of the pattern, so only the word is encoded."""
+        memo, bases, signed, signs = self.memo, {}, [], {}
+        for w in words:
+            if not w[-1].isalnum() and w[:-1].isalpha():
+                signed.append(w)
+                signs[w[-1]] = b""
+                if w[:-1] not in memo:
+                    bases[w[:-1]] = None
+            else:
+                bases[w] = None
+        signs = dict(zip(signs, self._whole(list(signs))))
+        bases = list(bases)
+        chunks = [bases[a : a + 200] for a in range(0, len(bases), 200)]
+        for chunk, e in zip(chunks, self.tok.encode_batch_fast([" " + " ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = (np.append(np.flatnonzero(self.space_led[ids]), len(ids)) * 4).tolist()
+            if len(at) != len(chunk) + 1:
+                raise AssertionError("a piece has not exactly one space-led token")
+            raw = ids.tobytes()
+            memo.update(zip(chunk, [raw[a:b] for a, b in zip(at, at[1:])]))
+        for w in signed:
+            memo[w] = memo[w[:-1]] + signs[w[-1]]
+
+    def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Texts (no nulls) -> (starts, ids): text k has ids[starts[k]:starts[k + 1]], end included."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        n = len(texts)
+        if not n:
+            return np.zeros(1, np.int64), np.zeros(0, "<u4")
         if len(self.memo) > self.limit:
             self.memo.clear()
-        parts = [None if _ODD.search(x) else x.split(" ") for x in texts]
-        seen: set[str] = set()
-        for p in parts:
-            if p:
-                seen.update(p[1:])
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        edge = lists.offsets.to_numpy().astype(np.int64)
+        first = lists.values.take(pa.array(edge[:-1]))
+        heads = self._whole(pc.if_else(odd, texts, first).to_pylist())
+        coded = lists.values.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(codes), bool)
+        later[edge[:-1]] = False
+        used = np.zeros(len(distinct), bool)
+        used[codes[later]] = True
         memo = self.memo
-        new = [w for w in seen if w not in memo]
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        heads = self._raw([x if p is None else p[0] for x, p in zip(texts, parts)])
-        get = memo.__getitem__
-        return [h if p is None or len(p) == 1 else h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts)]
+        names = [w if u else None for w, u in zip(distinct, used.tolist())]
+        self._learn([w for w in names if w is not None and w not in memo])
+        memo[None] = b""
+        raws = [*map(memo.__getitem__, names), *heads]
+        lens = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        codes[edge[:-1]] = len(distinct) + np.arange(n)
+        at = np.concatenate([[0], np.cumsum(lens)])
+        flat = np.frombuffer(b"".join(raws), "<u4")
+        ids = pa.LargeListArray.from_arrays(pa.array(at), pa.array(flat)).take(pa.array(codes)).flatten().to_numpy()
+        size = np.add.reduceat(lens[codes], edge[:-1])
+        starts = np.concatenate([[0], np.cumsum(size)])
+        if end is None:
+            return starts, ids
+        closed = starts + np.arange(n + 1)
+        out = np.full(closed[-1], end, "<u4")
+        keep = np.ones(len(out), bool)
+        keep[closed[1:] - 1] = False
+        out[keep] = ids
+        return closed, out
 
 
 def encoder(path: str) -> Encoder:

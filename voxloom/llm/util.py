@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Text batches are kept small, since one document may hold many megabytes.
-TEXT_BATCH = 256
+TEXT_BATCH = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,8 +57,9 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def batches(it, rows: int = TEXT_BATCH):
-    """Arrow batches cut to a bounded number of rows."""
+def batches(it, rows: int = TEXT_BATCH, nbytes: int = 8 << 20):
+    """Arrow batches cut to a bounded number of rows, and of about nbytes at most unless one row is larger."""
     for b in it:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, int(b.num_rows * nbytes / max(1, b.nbytes)))) if b.num_rows else 1
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
