@@ -172,3 +172,129 @@ def dedup(docs: DataFrame, scratch: Scratch, size: int = 4, max_bits: int = MAX_
 def op10(spark, docs: DataFrame) -> DataFrame:
     out = dedup(docs, Scratch(spark, "op10"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Wider fingerprints for a lower similarity: the share of differing bits estimates the angle
+# between shingle sets, and sets with Jaccard similarity J have cosine 2J / (1 + J).
+
+WIDE = 256
+WIDE_WORDS = 5
+#: Similarity 0.8 is an angle of 0.476, 38.8 of 256 bits on average; the rest is for the spread of the estimate.
+WIDE_BITS = 42
+BAND_BITS, BANDS = 16, 48
+_FAMILIES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def wide_bits(text: str, size: int = WIDE_WORDS) -> np.ndarray:
+    """256 bits over the distinct shingles: four mixings of each hash, one bit set where most hashes have it."""
+    h = np.unique(shingle_hashes(text, size))
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(h), 1 << 13):
+        part = h[at : at + (1 << 13), None] * _FAMILIES[None, :]
+        part ^= part >> np.uint64(29)
+        part *= _FAMILIES[None, ::-1]
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return 2 * ones > len(h)
+
+
+def _wide_prints(size: int):
+    def run(it):
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches(it):
+            texts = b.column(2).to_pylist()
+            words = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
+            same = np.array([xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+            bits = np.packbits(np.array([wide_bits(x, size) for x in texts]).reshape(len(texts), WIDE), axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "key", "same", "bits"])
+
+    return run
+
+
+def _bands(bands: int, width: int):
+    """A row for each class and band: the band's bits, fixed ones out of all, are the key."""
+    chosen = np.array([np.random.Generator(np.random.PCG64([SEED, k])).choice(WIDE, width, replace=False) for k in range(bands)])
+
+    def run(it):
+        weights = (np.uint64(1) << np.arange(width, dtype=np.uint64)).astype(np.int64)
+        for b in batches(it):
+            raw = b.column(1)
+            bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+            for k in range(bands):
+                key = bits[:, chosen[k]].astype(np.int64) @ weights + (k << 48)
+                yield pa.RecordBatch.from_arrays([pa.array(key), raw, b.column(0)], ["key", "bits", "rep"])
+
+    return run
+
+
+def _wide_links(limit: int, n_pivots: int):
+    table = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (n_pivots, WIDE // 64), dtype=np.uint64)
+
+    def flush(key, fp, rep):
+        dist = np.stack([np.bitwise_count(fp ^ p[None, :]).sum(1, dtype=np.int16) for p in table], 1)
+        n, shift, ii, jj, held = len(key), 0, [], [], 0
+        at = np.arange(n)
+        while True:
+            shift += 1
+            at = at[at + shift < n]
+            at = at[key[at] == key[at + shift]]
+            if not len(at):
+                break
+            for a in range(0, len(at), 1 << 16):
+                i = at[a : a + (1 << 16)]
+                j = i + shift
+                near = np.abs(dist[i] - dist[j]).max(1) <= limit
+                i, j = i[near], j[near]
+                true = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int16) <= limit
+                ii.append(i[true])
+                jj.append(j[true])
+                held += int(true.sum())
+            if held > 4_000_000:
+                root = local_roots(n, np.concatenate(ii), np.concatenate(jj))
+                far = np.flatnonzero(root != np.arange(n))
+                ii, jj, held = [far], [root[far]], len(far)
+        if ii:
+            root = local_roots(n, np.concatenate(ii), np.concatenate(jj))
+            far = np.flatnonzero(root != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[root[far]])], ["a", "b"])
+
+    def run(it):
+        held, n = [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            held.append((b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, WIDE // 64), b.column(2).to_numpy()))
+            n += b.num_rows
+            if n >= BUFFER_ROWS:
+                key, fp, rep = (np.concatenate(c) for c in zip(*held))
+                yield from flush(key, fp, rep)
+                tail = key == key[-1]
+                held, n = [(key[tail], fp[tail], rep[tail])], 0
+        if held:
+            yield from flush(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """docs with all its columns: of each group of near-duplicates the smallest doc_id stays, once.
+
+    Texts with the same words are one class. Null texts and texts without words are left as they
+    are; rows without doc_id stay if nothing with an id is like them.
+    """
+    text = doc_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    prints = scratch.table(text.mapInArrow(_wide_prints(size), "doc_id long, key long, same long, bits binary"), "prints")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "key"))
+    classes = scratch.table(prints.groupBy("same", "bits").agg(first.alias("p")).select("same", "bits", F.col("p.doc").alias("doc"), F.col("p.key").alias("rep")), "classes")
+    spread = classes.select("rep", "bits").mapInArrow(_bands(BANDS, BAND_BITS), "key long, bits binary, rep long")
+    found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_links(limit, n_pivots), "a long, b long")
+    comp = components(found, scratch, "wide")
+    of = classes.join(comp, classes["rep"] == comp["id"], "left").select("same", "bits", "doc", "rep", F.coalesce("component", "rep").alias("component"))
+    keep = of.groupBy("component").agg(F.min(F.struct("doc", "rep")).alias("p")).select(F.col("p.rep").alias("__key"))
+    gone = prints.select(F.col("key").alias("__key")).distinct().join(keep, "__key", "left_anti")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    left = keyed.join(gone, "__key", "left_anti")
+    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    once = left.filter(~bare).dropDuplicates(["__key"]).unionByName(keyed.filter(bare))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
