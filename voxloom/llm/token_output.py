@@ -112,7 +112,8 @@ class Shard:
             yield d, int(self.starts[k]), ids[self.starts[k] : self.starts[k + 1]]
 
 
-_SHARDS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("shard", T.IntegerType()), ("first_doc", T.LongType()), ("last_doc", T.LongType()), ("n_docs", T.LongType()), ("n_tokens", T.LongType()), ("payload", T.BinaryType()))])
+_SHARDS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("shard", T.IntegerType()), ("before", T.LongType()), ("first_doc", T.LongType()), ("last_doc", T.LongType()), ("n_docs", T.LongType()), ("n_tokens", T.LongType()), ("payload", T.BinaryType()))])
+_KINDS = (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
 _DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
@@ -120,22 +121,22 @@ def _shards(path: str, end: int, limit: int):
     def run(it):
         from pyspark import TaskContext
 
-        part, enc, tail, shard = TaskContext.get().partitionId(), tokens.encoder(path), np.array([end], "<u4"), 0
-        ids, got, n = [], [], 0
+        part, enc, shard, before = TaskContext.get().partitionId(), tokens.encoder(path), 0, 0
+        doc_ids, got, n = [], [], 0
 
         def row():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "first_doc": [ids[0]], "last_doc": [ids[-1]], "n_docs": [len(ids)], "n_tokens": [n], "payload": [pack(ids, got)]})
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, shard, before, doc_ids[0], doc_ids[-1], len(doc_ids), n, pack(doc_ids, got)), _KINDS)], _SHARDS.names)
 
-        for b in batches(it):
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                x = np.append(np.frombuffer(raw, "<u4"), tail)
-                if ids and n + len(x) > limit:
+        for b in batches(it, 4096, 16 << 20):
+            starts, ids = enc.encode(b.column(1), end)
+            for d, a, z in zip(b.column(0).to_pylist(), starts.tolist(), starts[1:].tolist()):
+                if doc_ids and n + z - a > limit:
                     yield row()
-                    ids, got, n, shard = [], [], 0, shard + 1
-                ids.append(d)
-                got.append(x)
-                n += len(x)
-        if ids:
+                    doc_ids, got, n, shard, before = [], [], 0, shard + 1, before + n
+                doc_ids.append(d)
+                got.append(ids[a:z])
+                n += z - a
+        if doc_ids:
             yield row()
 
     return run
@@ -156,17 +157,12 @@ def with_base(shards: DataFrame) -> DataFrame:
     for r in sorted(per, key=lambda r: (r.a, r.b)):
         rows.append((r.part, base))
         base += r.n
-    from pyspark.sql import Window as W
-
-    before = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = shards.select("part", "shard", "n_tokens").withColumn("before", before).drop("n_tokens")
-    parts = spark.createDataFrame(rows, "part int, part_base long")
-    starts = sizes.join(F.broadcast(parts), "part").select("part", "shard", (F.col("part_base") + F.col("before")).alias("base"))
-    return shards.join(starts, ["part", "shard"])
+    parts = F.broadcast(spark.createDataFrame(rows, "part int, part_base long"))
+    return shards.join(parts, "part").withColumn("base", F.col("part_base") + F.col("before"))
 
 
 def _read(it):
-    for b in batches(it, 1):
+    for b in batches(it, 1):  # a shard at a time
         base, s = b.column(0)[0].as_py(), Shard(b.column(1)[0].as_py())
         rows = [(d, base + at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in s.docs()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
