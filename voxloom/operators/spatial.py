@@ -64,7 +64,7 @@ def _neighbours(xyz: np.ndarray, centre: np.ndarray, off: np.ndarray) -> np.ndar
     return table[flat(xyz[centre][:, None, :] + off[None, :, :])]
 
 
-def reho(bold: DataFrame, shape: tuple[int, int, int], cluster: int = config.CLUSTER, subject: list[str] | None = None) -> DataFrame:
+def reho(bold: DataFrame, shape: tuple[int, int, int], cluster: int = config.CLUSTER, subject: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Kendall's W of each masked voxel and its masked neighbours; 0 on the outermost shell of the grid."""
     off, top = offsets(cluster), np.array(shape) - 1
 
@@ -81,7 +81,7 @@ def reho(bold: DataFrame, shape: tuple[int, int, int], cluster: int = config.CLU
         border = ((xyz[rows] == 0) | (xyz[rows] == top)).any(1)
         return rows, np.where(border, 0.0, w)
 
-    return by_block(bold, kernel, "reho", subject or [])
+    return by_block(bold, kernel, "reho", subject or [], block)
 
 
 def segments(t: int, tr: float, low: float) -> tuple[int, int]:

@@ -32,7 +32,7 @@ def shape(df: DataFrame) -> tuple[int, int, int]:
 
 
 def run_maps(spark, sf_dir) -> DataFrame:
-    """(subject, run, x, y, z, value): mean price per supplier, run and voxel; held-out subjects have an effect put in."""
+    """(subject, run, x, y, z, value): mean price per supplier, run and voxel; held-out subjects have an effect put in. Prices are divided by a prime, so that means have no ties in rounding."""
     v = F.col("l_partkey") % 200
     line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"), (F.col("l_linenumber") % 2).cast("int").alias("run"), v.alias("v"), "l_extendedprice")
     per = line.groupBy("subject", "run", "v").agg(F.avg("l_extendedprice").alias("value"))
@@ -48,7 +48,7 @@ def maps(spark, sf_dir) -> DataFrame:
 def _placed(per: DataFrame, *more: str) -> DataFrame:
     boosted = (F.col("subject") % 10 == 0) & F.col("v").between(*BOOST)
     at = [F.floor(F.col("v") / 40).cast("int").alias("x"), (F.floor(F.col("v") / 8) % 5).cast("int").alias("y"), (F.col("v") % 8).cast("int").alias("z")]
-    return per.select("subject", *more, *at, (F.col("value") * F.when(boosted, 3.0).otherwise(1.0)).alias("value"))
+    return per.select("subject", *more, *at, (F.col("value") / 977.0 * F.when(boosted, 3.0).otherwise(1.0)).alias("value"))
 
 
 def cohort(m: DataFrame) -> DataFrame:

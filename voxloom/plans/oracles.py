@@ -13,7 +13,7 @@ from . import queries as Q
 BOLD = "bold AS (SELECT vec_id, CAST(vec_id // 100 AS INTEGER) AS x, CAST((vec_id // 10) % 10 AS INTEGER) AS y, CAST(vec_id % 10 AS INTEGER) AS z, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS ts FROM embeddings)"
 LONG = BOLD + ", long AS (SELECT vec_id, x, y, z, label, CAST(u - 1 AS INTEGER) AS t, ts[u] AS v FROM bold, range(1, 65) r(u))"
 FLAT = "flat AS (SELECT *, v - (regr_intercept(v, t) OVER w + regr_slope(v, t) OVER w * t) AS d FROM long WINDOW w AS (PARTITION BY vec_id))"
-PLACE = "CAST(v // 40 AS INTEGER) AS x, CAST((v // 8) % 5 AS INTEGER) AS y, CAST(v % 8 AS INTEGER) AS z, value * CASE WHEN subject % 10 = 0 AND v BETWEEN 100 AND 104 THEN 3::DOUBLE ELSE 1::DOUBLE END AS value"
+PLACE = "CAST(v // 40 AS INTEGER) AS x, CAST((v // 8) % 5 AS INTEGER) AS y, CAST(v % 8 AS INTEGER) AS z, value / 977::DOUBLE * CASE WHEN subject % 10 = 0 AND v BETWEEN 100 AND 104 THEN 3::DOUBLE ELSE 1::DOUBLE END AS value"
 MAPS = f"maps AS (SELECT subject, {PLACE} FROM (SELECT l_suppkey AS subject, l_partkey % 200 AS v, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL))"
 RUNS = f"runs AS (SELECT subject, run, {PLACE} FROM (SELECT l_suppkey AS subject, CAST(l_linenumber % 2 AS INTEGER) AS run, l_partkey % 200 AS v, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL) WHERE subject % 10 <> 0), nruns AS (SELECT subject, run, x, y, z, value / avg(value) OVER (PARTITION BY subject, run) AS value FROM runs)"
 REF = MAPS + ", nmaps AS (SELECT subject, x, y, z, value / avg(value) OVER (PARTITION BY subject) AS value FROM maps), ref AS (SELECT x, y, z, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n_obs FROM nmaps WHERE subject % 10 <> 0 GROUP BY ALL), good AS (SELECT * FROM ref WHERE n_obs >= 2 AND sd > 0)"
@@ -210,7 +210,7 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "peaks": f"WITH {TESTS}, h AS (SELECT *, count(*) OVER (PARTITION BY subject) AS n FROM fdr WHERE q < 0.05::DOUBLE) SELECT subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY abs(t) DESC, x, y, z) AS INTEGER) AS rank, CASE WHEN t > 0 THEN 'above' ELSE 'below' END AS side, {r('t')}, {MM} FROM h WHERE n <= 20",
         "calibration": f"WITH {TESTS}, s AS (SELECT subject, avg(t) AS m, stddev_pop(t) AS s, count(*) FILTER (WHERE p < 0.05::DOUBLE) / (0.05::DOUBLE * count(*)) AS r FROM tests GROUP BY subject), a AS (SELECT count(*) AS maps, quantile_cont(m, 0.5) AS m, quantile_cont(s, 0.5) AS s, quantile_cont(r, 0.5) AS r FROM s) SELECT maps, {r('m', 'mean_t')}, {r('s', 'sd_t')}, {r('r', 'obs_chance')}, CASE WHEN s < 0.7 THEN 'sd too small' WHEN s > 1.4 THEN 'sd too large' WHEN r > 1.5 THEN 'too many' WHEN r < 0.5 THEN 'too few' ELSE 'calibrated' END AS verdict FROM a",
         "map_agreement": f"WITH {MAPS}, ab AS (SELECT a.value AS a, b.value AS b FROM maps a JOIN maps b USING (x, y, z) WHERE a.subject = 1 AND b.subject = 2) SELECT {r('max(abs(a - b))', 'max_diff')}, {r('avg(abs(a - b))', 'mean_diff')}, {r('corr(a, b)', 'r')}, CASE WHEN max(abs(a - b)) < 1e-4 OR corr(a, b) > 0.9999 THEN 'MATCH' ELSE 'DIFFERENT' END AS verdict FROM ab",
-        "group_average": f"WITH {REF} SELECT x, y, z, {r('avg(value)', 'value')}, count(*) AS covered FROM nmaps WHERE subject % 10 = 0 GROUP BY x, y, z",
+        "group_average": f"WITH {REF} SELECT x, y, z, {r('avg(value)', 'value')}, count(*) AS covered FROM nmaps WHERE subject % 10 = 0 AND (SELECT count(DISTINCT subject) FROM nmaps WHERE subject % 10 = 0) >= 2 GROUP BY x, y, z",
         "map_stats": f"WITH {MAPS} SELECT subject, {r('avg(value)', 'mean')}, {r('quantile_cont(value, 0.5)', 'median')}, count(*) AS voxels FROM maps GROUP BY subject",
         "mode_choice": f"WITH {MAPS}, s AS (SELECT subject % 3 AS measure, x, y, z, stddev_samp(value) AS sd FROM maps GROUP BY ALL), m AS (SELECT measure, coalesce(bool_or(sd > 0), false) AS has_sd, measure AS n FROM s GROUP BY measure) SELECT measure, has_sd, n, CASE WHEN has_sd AND n > 1 THEN 't' WHEN has_sd THEN 'z' ELSE 'diff' END AS mode FROM m",
         "hist40": f"WITH {MAPS}, {hist('maps', 40)}",
@@ -234,6 +234,12 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "resample_nearest": f"WITH {REF}, {TARGET}, pos AS (SELECT x AS tx, y AS ty, z AS tz, " + ", ".join(f"round_even({_source(k)}, 0) AS s{c}" for k, c in enumerate("xyz")) + f" FROM tgt) SELECT tx AS x, ty AS y, tz AS z, {r('coalesce(value, 0)', 'value')} FROM pos LEFT JOIN (SELECT * FROM nmaps WHERE subject = 0) m ON m.x = sx AND m.y = sy AND m.z = sz",
         "resample_trilinear": f"WITH {REF}, {TARGET}, pos AS (SELECT x AS tx, y AS ty, z AS tz, " + ", ".join(f"{_source(k)} AS s{c}" for k, c in enumerate("xyz")) + " FROM tgt), c AS (" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, {c} AS c" for a, b, c in product((0, 1), repeat=3)) + f") SELECT tx AS x, ty AS y, tz AS z, {r('sum(coalesce(value, 0) * abs(1 - a - (sx - floor(sx))) * abs(1 - b - (sy - floor(sy))) * abs(1 - c - (sz - floor(sz))))', 'value')} FROM pos CROSS JOIN c LEFT JOIN (SELECT * FROM nmaps WHERE subject = 0) m ON m.x = floor(sx) + a AND m.y = floor(sy) + b AND m.z = floor(sz) + c GROUP BY tx, ty, tz",
         "tensor_fa": f"WITH {FA}, e AS (SELECT voxel, 0.0005::DOUBLE + fa * 0.001::DOUBLE AS a, 0.0005::DOUBLE AS b FROM fa) SELECT voxel, {r('sqrt(pow(a - b, 2) / (a * a + 2 * b * b))', 'fa')} FROM e",
+        "nifti_scan": f"WITH {MAPS} SELECT subject, x, y, z, {r('round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3)', 'value')} FROM maps WHERE subject % 10 = 0",
+        "tractogram_scan": "SELECT l_orderkey AS sl, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS ord, CAST(l_linenumber AS INTEGER) AS px, CAST(l_partkey % 100 AS INTEGER) AS py FROM lineitem WHERE l_orderkey % 10 = 0",
+        "gradient_scan": 'SELECT CAST(g AS INTEGER) AS g, bval::DOUBLE AS bval, bx::DOUBLE AS bx, "by"::DOUBLE AS "by", bz::DOUBLE AS bz FROM (VALUES (0, 0, 0, 0, 0), (1, 1000, 1, 0, 0), (2, 1000, 0, 1, 0), (3, 2000, 0, 0.6, 0.8)) q(g, bval, bx, "by", bz)',
+        "npz_roundtrip": f"WITH {REF} SELECT x, y, z, {r('mean')}, {r('sd')}, true AS in_mask FROM good",
+        "synthetic_bold": "WITH g AS (SELECT CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y, CAST(c AS INTEGER) AS z, CAST(t AS INTEGER) AS t FROM range(6) a(a), range(6) b(b), range(6) c(c), range(16) t(t)) SELECT x, y, z, t, " + r("sum(exp(-(pow(x - 6 * (k % 3 + 1) / 4::DOUBLE, 2) + pow(y - 6 * (k % 5 + 1) / 6::DOUBLE, 2) + pow(z - 6 * (k % 2 + 1) / 3::DOUBLE, 2)) / 8) * sin(2 * pi() * (0.012::DOUBLE + 0.01::DOUBLE * k) * 0.72::DOUBLE * t))", "v") + " FROM g, range(8) q(k) GROUP BY x, y, z, t",
+        "stream_reference": f"WITH {MAPS} SELECT x, y, z, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n_obs FROM maps WHERE subject % 10 <> 0 GROUP BY x, y, z",
         "flagship": f"WITH {spectrum()}, m AS (SELECT vec_id, avg(amp) FILTER (WHERE k BETWEEN 1 AND 3) AS v FROM amp GROUP BY vec_id) SELECT 'alff' AS measure, {r('avg(v)', 'mean')}, {r('quantile_cont(v, 0.5)', 'median')}, count(*) AS voxels FROM m",
     }
     for s in config.MSE_SCALES:

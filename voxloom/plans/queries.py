@@ -12,6 +12,8 @@ from ..operators import connect as N
 from ..operators import discovery as D
 from ..operators import series as S
 from ..operators import spatial as P
+from ..sources import images as I
+from ..streaming import reference as R
 from . import fixtures as X
 
 SLOW_BAND = (0.05, 0.2)
@@ -492,6 +494,58 @@ def tensor_fa(spark, sf):
     return _round(N.tensor_fa(X.fa(spark, sf).select("voxel", signal.alias("signal")), b, g.tolist()), "fa")
 
 
+# Sources and sinks, through bytes
+
+
+def nifti_scan(spark, sf):
+    """Maps written as images and read again; values are float32 there."""
+    m = X.held_out(X.maps(spark, sf)).withColumn("value", F.col("value").cast("float").cast("double"))
+    back = I.voxels(I.images(m, "subject", (5, 5, 8)))
+    out = back.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("subject"), "x", "y", "z", F.get("ts", F.lit(0)).alias("value"))
+    return _round(out.withColumn("value", F.col("value").cast("float").cast("double")).filter("value <> 0").withColumn("value", F.round("value", 3)), "value")
+
+
+def tractogram_scan(spark, sf):
+    """An order's lines as a streamline's points, written as .tck and read again."""
+    import numpy as np
+    import pyarrow as pa
+
+    lines = X.table(spark, sf, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+
+    def pack(t):
+        order = np.lexsort((t["l_partkey"].to_numpy(), t["l_linenumber"].to_numpy()))
+        p = np.stack([t["l_linenumber"].to_numpy()[order], t["l_partkey"].to_numpy()[order] % 100, np.arange(len(order))], 1)
+        return pa.table({"path": [str(t["l_orderkey"][0].as_py())], "content": [I.tck_bytes([p])]})
+
+    back = I.streamlines(lines.groupBy("l_orderkey").applyInArrow(pack, "path string, content binary"))
+    return back.select(F.col("path").cast("long").alias("sl"), "ord", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
+
+
+def gradient_scan(spark, sf):
+    rows = I.gradient_rows([0.0, 1000.0, 1000.0, 2000.0], [[0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.6], [0.0, 0.0, 0.0, 0.8]])
+    return spark.createDataFrame(rows, "g int, bval double, bx double, by double, bz double")
+
+
+def npz_roundtrip(spark, sf):
+    ref = C.voxel_reference(C.global_normalize(X.cohort(X.maps(spark, sf)), ["subject"])).filter("in_mask")
+    return _round(I.npz_reference(spark, I.reference_npz(ref, (5, 5, 8), 90, "alff")), "mean", "sd")
+
+
+def synthetic_bold(spark, sf):
+    return _round(I.synthetic_bold(spark, (6, 6, 6), 16).select("x", "y", "z", F.posexplode("ts").alias("t", "v")), "v")
+
+
+def stream_reference(spark, sf):
+    """The batch reference, from a stream of map files."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-")
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    X.cohort(X.maps(spark, sf)).repartition(8, "subject").write.parquet(f"{root}/maps")
+    return _round(R.run_to_end(spark, f"{root}/maps", f"voxels_{uuid.uuid4().hex[:12]}", f"{root}/state"), "mean", "sd")
+
+
 def flagship(spark, sf):
     """Mask, measure and map statistics in one plan: a subject's broadband amplitude."""
     a = S.apply(X.bold(spark, sf).filter(S.brain_mask()).select("x", "y", "z", "ts"), S.alff(), {"alff": "double"})
