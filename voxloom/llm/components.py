@@ -15,7 +15,8 @@ from .util import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """edges (a long, b long) -> (id, component): the smallest id reachable, for each id with an edge."""
+    """edges (a long, b long) -> (id, component): the smallest id reachable, for each id with an edge but
+    the smallest of each component, which stands for itself."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before, k = scratch.table(e, f"{name}0"), None, 0
     while True:
