@@ -127,7 +127,7 @@ def _shards(path: str, end: int, limit: int):
         def row():
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, shard, before, doc_ids[0], doc_ids[-1], len(doc_ids), n, pack(doc_ids, got)), _KINDS)], _SHARDS.names)
 
-        for b in batches(it, 4096, 16 << 20):
+        for b in batches(it, 3072, 12 << 20):
             starts, ids = enc.encode(b.column(1), end)
             for d, a, z in zip(b.column(0).to_pylist(), starts.tolist(), starts[1:].tolist()):
                 if doc_ids and n + z - a > limit:
@@ -143,9 +143,9 @@ def _shards(path: str, end: int, limit: int):
 
 
 def write(docs: DataFrame, scratch: Scratch, path: str | None = None, end: int = tokens.END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode every document, in ascending doc_id order (ties by text), into shards; returns the shard table."""
-    src = doc_text(docs).filter(F.col("doc_id").isNotNull())
-    ranged = src.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    """Encode every document, in ascending doc_id order (ties by a hash of the text), into shards; returns the shard table."""
+    src = doc_text(docs).filter(F.col("doc_id").isNotNull()).withColumn("tie", F.xxhash64("text"))
+    ranged = src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")  # range bounds are sampled by key: texts are not part of it
     return scratch.table(ranged.mapInArrow(_shards(path or tokens.vocabulary_path(), end, shard_tokens), _SHARDS), "shards")
 
 

@@ -29,7 +29,7 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, memo: int = 1_200_000):
+    def __init__(self, path: str, memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
