@@ -12,6 +12,7 @@ from voxloom.functions.columns import normal_cdf, t_two_sided
 from voxloom.operators import cohort as C
 from voxloom.operators import connect as N
 from voxloom.operators import discovery as D
+from voxloom.operators import measures as M
 from voxloom.operators import series as S
 from voxloom.operators import spatial as P
 from voxloom.sources import images as I
@@ -128,6 +129,17 @@ def test_unknown_choices_raise(spark):
     assert config.chosen_measures(["b", "a", "b", "q"], {"a", "b"}) == ["b", "a"]
 
 
+def test_measure_registry(spark):
+    b = _bold(spark, (4, 4, 4), 64)
+    for key in M.MEASURES:
+        got = M.compute(key, b, M.Parameters(low=0.05, high=0.2, mse_r=0.5))
+        assert got.columns == ["x", "y", "z", "value"] and 0 < got.count() <= 64
+    with pytest.raises(ValueError):
+        M.compute("no", b)
+    corner = spark.createDataFrame([(0, 0, 0, 1.0), (1, 1, 1, 0.0)], "x int, y int, z int, value double")
+    assert [tuple(r)[:3] for r in M.compute("alff", b, mask=corner).collect()] == [(0, 0, 0)]
+
+
 def test_build_and_compare(spark):
     v = 0.5 + 0.1 * RNG.standard_normal(100)
     cohort = spark.createDataFrame([(1, float(x)) for x in v], "region int, value double")

@@ -248,3 +248,40 @@ def missing_ids(maps: DataFrame, ids: DataFrame) -> DataFrame:
 
 def held_out(maps: DataFrame, ids: DataFrame) -> DataFrame:
     return maps.join(ids.select("subject"), "subject", "left_anti")
+
+
+def common_mask(maps: DataFrame) -> DataFrame:
+    """Voxels that every subject's map has."""
+    n = maps.select("subject").distinct().agg(F.count("*").alias("__n"))
+    return maps.groupBy(*VOXEL).agg(F.count("*").alias("k")).crossJoin(F.broadcast(n)).filter("k = __n").select(*VOXEL)
+
+
+def mask_mismatch(maps: DataFrame, reference: DataFrame, neighbourhood: bool = False) -> DataFrame:
+    """(subject, voxels, expected, warning): a map whose mask is not the reference's; worse for neighbourhood measures."""
+    n = reference.filter("in_mask").agg(F.count("*").alias("expected"))
+    note = "mask differs; neighbourhoods at its edge differ too" if neighbourhood else "mask differs"
+    per = maps.groupBy("subject").agg(F.count("*").alias("voxels")).crossJoin(F.broadcast(n))
+    return per.withColumn("warning", F.when(F.col("voxels") != F.col("expected"), note))
+
+
+def batch_reference(maps: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The simple reference of the subjects with enough voxels, and a table of those left out with the reason."""
+    size = maps.groupBy("subject").agg(F.count("*").alias("voxels"))
+    errors = size.filter(F.col("voxels") < least).select("subject", F.concat(F.lit("only "), F.col("voxels"), F.lit(" voxels")).alias("reason"))
+    return simple_reference(maps.join(size.filter(F.col("voxels") >= least), "subject", "left_semi")), errors
+
+
+def synthetic_coupling(spark, subjects: int = 100, regions: int = 200, seed: int = 0) -> DataFrame:
+    """(subject, region, value): made-up couplings around 0.3."""
+    i = F.col("id")
+    return spark.range(subjects * regions).select(F.floor(i / regions).alias("subject"), (i % regions).alias("region"), (0.3 + 0.1 * F.randn(seed)).alias("value"))
+
+
+def checksums(files: DataFrame) -> DataFrame:
+    """files (path, content) -> (path, sha256)."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, ok): a missing or changed file is not ok."""
+    return expected.join(checksums(files).withColumnRenamed("sha256", "found"), "path", "left").select("path", F.coalesce(F.col("found") == F.col("sha256"), F.lit(False)).alias("ok"))

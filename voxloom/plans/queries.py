@@ -10,6 +10,7 @@ from ..functions.columns import r6, to_mm
 from ..operators import cohort as C
 from ..operators import connect as N
 from ..operators import discovery as D
+from ..operators import measures as M
 from ..operators import series as S
 from ..operators import spatial as P
 from ..sources import images as I
@@ -494,6 +495,48 @@ def tensor_fa(spark, sf):
     return _round(N.tensor_fa(X.fa(spark, sf).select("voxel", signal.alias("signal")), b, g.tolist()), "fa")
 
 
+def common_mask(spark, sf):
+    return C.common_mask(X.cohort(X.maps(spark, sf)).filter("subject < 5"))
+
+
+def mask_mismatch(spark, sf):
+    return C.mask_mismatch(X.held_out(X.maps(spark, sf)), _reference(spark, sf), True)
+
+
+def batch_reference(spark, sf):
+    return _round(C.batch_reference(X.cohort(X.maps(spark, sf)), 190)[0], "mean", "sd")
+
+
+def batch_reference_errors(spark, sf):
+    return C.batch_reference(X.cohort(X.maps(spark, sf)), 190)[1]
+
+
+def synthetic_coupling_ref(spark, sf):
+    return C.coupling_reference(C.synthetic_coupling(spark)).select("region", "n", (F.abs(F.col("mean") - 0.3) < 0.05).alias("mean_ok"), (F.abs(F.col("sd") - 0.1) < 0.03).alias("sd_ok"))
+
+
+def _contents(spark, sf):
+    return X.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.col("p_name").cast("binary").alias("content"))
+
+
+def checksums(spark, sf):
+    return C.checksums(_contents(spark, sf))
+
+
+def checksum_verify(spark, sf):
+    files = _contents(spark, sf)
+    expected = C.checksums(files).withColumn("sha256", F.when(F.col("path") == "p9", "changed").otherwise(F.col("sha256")))
+    return C.verify_checksums(files.filter(F.col("path") != "p7"), expected)
+
+
+def compute_measure(spark, sf):
+    """Three measures through the registry, over an explicit mask."""
+    b = X.bold(spark, sf)
+    mask = b.select("x", "y", "z", (F.col("vec_id") % 7).alias("value"))
+    parts = [M.compute(k, b, M.Parameters(cluster=7), mask).select(F.lit(k).alias("measure"), "x", "y", "z", "value") for k in ("alff", "rsfa", "int")]
+    return _round(parts[0].unionByName(parts[1]).unionByName(parts[2]), "value")
+
+
 # Sources and sinks, through bytes
 
 
