@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom import config
-from voxloom.functions.columns import normal_cdf, t_two_sided
+from voxloom.functions.columns import normal_cdf, t_tails, t_two_sided
 from voxloom.operators import cohort as C
 from voxloom.operators import connect as N
 from voxloom.operators import discovery as D
@@ -35,7 +35,7 @@ def test_t_tail(spark, df):
         k = int(round(t / (x[1] - x[0])))
         want = 1 - 2 * float(np.trapezoid(f[: k + 1], x[: k + 1]))
         got = spark.range(1).select(t_two_sided(F.lit(-t), df)).first()[0]
-        assert abs(got - want) < 1e-6
+        assert abs(got - want) < 1e-6 and abs(t_tails(np.array([t]), df)[0] - got) < 1e-12
 
 
 def test_spectral_properties():

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, normal_cdf, t_two_sided
+from ..functions.columns import finite, normal_cdf, with_t_tail
 
 VOXEL = ["x", "y", "z"]
 
@@ -131,7 +131,7 @@ def t_test(subject: DataFrame, reference: DataFrame, n: int, by: list[str], norm
     if normalized:
         own = global_normalize(own, by)
     t = (F.col("value") - F.col("mean")) / (F.col("sd") * math.sqrt((n + 1) / n))
-    return own.withColumn("t", t).withColumn("p", t_two_sided(F.col("t"), n - 1))
+    return with_t_tail(own.withColumn("t", t), "t", "p", n - 1)
 
 
 def fdr(tests: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
