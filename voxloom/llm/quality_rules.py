@@ -124,7 +124,7 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         near = _with_distance(rows, stats, _GROUP).select(*keys, *_X, bin_.alias("bin"))
         counts = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
         upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy(*keys).orderBy("bin"))).join(inner, _GROUP)
-        edge = upto.filter("upto >= h").groupBy(*keys).agg(F.min("bin").alias("edge"))
+        edge = scratch.table(upto.filter("upto >= h").groupBy(*keys).agg(F.min("bin").alias("edge")), f"edge{step}")  # one row a group: rows are combined before they are dealt
         stats = scratch.table(_factor(_moments(near.join(edge, keys).filter("bin <= edge"), keys), FACTOR_H), f"step{step}")
     best = stats.groupBy(*_GROUP).agg(F.min(F.struct("logdet", "start")).alias("b")).select(*_GROUP, F.col("b.start").alias("start"))
     stats = stats.join(best, keys).drop("start")
