@@ -22,7 +22,8 @@ def bold(spark, sf_dir) -> DataFrame:
 
 
 def masked_bold(spark, sf_dir) -> DataFrame:
-    return bold(spark, sf_dir).filter("vec_id % 7 <> 0")
+    """The voxels inside the atlas: label 0 is the background."""
+    return bold(spark, sf_dir).filter("label <> 0")
 
 
 def shape(df: DataFrame) -> tuple[int, int, int]:

@@ -46,7 +46,7 @@ def band(lo: int, hi: int, name: str, fraction: bool) -> str:
 
 def reho(cluster: int) -> str:
     near = " UNION ALL ".join(f"SELECT {a} AS dx, {b} AS dy, {c} AS dz" for a, b, c in spatial.offsets(cluster).tolist())
-    return f"""WITH {LONG}, m AS (SELECT * FROM long WHERE vec_id % 7 <> 0),
+    return f"""WITH {LONG}, m AS (SELECT * FROM long WHERE label <> 0),
 rk AS (SELECT vec_id, x, y, z, t, rank() OVER (PARTITION BY vec_id ORDER BY v) + (count(*) OVER (PARTITION BY vec_id, v) - 1) / 2.0::DOUBLE AS r FROM m),
 off AS ({near}), s AS (SELECT a.x, a.y, a.z, b.t, sum(b.r) AS r, count(*) AS k FROM (SELECT DISTINCT x, y, z FROM m) a, off JOIN rk b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL),
 w AS (SELECT x, y, z, 12 * var_pop(r) * count(*) / (max(k) * max(k) * (pow(count(*), 3) - count(*)) + 1e-8) AS w FROM s GROUP BY ALL),
@@ -72,7 +72,7 @@ def mse(rr: float) -> str:
 
 def coherence() -> str:
     near = " UNION ALL ".join(f"SELECT {k} AS slot, {a} AS dx, {b} AS dy, {c} AS dz" for k, (a, b, c) in enumerate(spatial.offsets(27).tolist()))
-    return f"""WITH {LONG}, m AS (SELECT * FROM long WHERE vec_id % 7 <> 0),
+    return f"""WITH {LONG}, m AS (SELECT * FROM long WHERE label <> 0),
 seg AS (SELECT vec_id, x, y, z, s, t - s * 16 AS u, v - avg(v) OVER (PARTITION BY vec_id, s) AS v FROM m, range(0, 3) q(s) WHERE t BETWEEN s * 16 AND s * 16 + 31),
 win AS (SELECT *, v * 0.5::DOUBLE * (1 - cos(2 * pi() * (u + 1) / 33)) AS w FROM seg),
 f AS (SELECT vec_id, x, y, z, s, k, sum(w * cos(2 * pi() * k * u / 32)) AS re, -sum(w * sin(2 * pi() * k * u / 32)) AS im FROM win, range(2, 5) q(k) GROUP BY ALL),
@@ -148,7 +148,7 @@ PER_T = "SELECT subject, avg(t) AS mean_t, max(abs(t)) AS max_abs_t, count(*) AS
 def oracle_sql() -> dict[str, str]:
     out = {
         "brain_mask": f"WITH {BOLD} SELECT vec_id, x, y, z, NOT (vec_id % 11 = 0 OR vec_id % 13 = 0) AS in_mask FROM bold",
-        "masked_inflate": f"WITH {BOLD} SELECT x, y, z, {r('CASE WHEN vec_id % 3 <> 0 THEN ts[1] ELSE 0 END', 'value')} FROM bold",
+        "masked_inflate": f"WITH {BOLD} SELECT x, y, z, {r('CASE WHEN label <> 0 THEN ts[1] ELSE 0 END', 'value')} FROM bold",
         "detrend": f"WITH {LONG}, {FLAT} SELECT vec_id, t, {r('d', 'v')} FROM flat",
         "amp_spectrum": f"WITH {spectrum()} SELECT vec_id, k, {r('amp')} FROM amp",
         "amp_spectrum_padded": f"WITH {spectrum(60)} SELECT vec_id, k, {r('amp')} FROM amp",
@@ -234,22 +234,22 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "resample_nearest": f"WITH {REF}, {TARGET}, pos AS (SELECT x AS tx, y AS ty, z AS tz, " + ", ".join(f"round_even({_source(k)}, 0) AS s{c}" for k, c in enumerate("xyz")) + f" FROM tgt) SELECT tx AS x, ty AS y, tz AS z, {r('coalesce(value, 0)', 'value')} FROM pos LEFT JOIN (SELECT * FROM nmaps WHERE subject = 0) m ON m.x = sx AND m.y = sy AND m.z = sz",
         "resample_trilinear": f"WITH {REF}, {TARGET}, pos AS (SELECT x AS tx, y AS ty, z AS tz, " + ", ".join(f"{_source(k)} AS s{c}" for k, c in enumerate("xyz")) + " FROM tgt), c AS (" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, {c} AS c" for a, b, c in product((0, 1), repeat=3)) + f") SELECT tx AS x, ty AS y, tz AS z, {r('sum(coalesce(value, 0) * abs(1 - a - (sx - floor(sx))) * abs(1 - b - (sy - floor(sy))) * abs(1 - c - (sz - floor(sz))))', 'value')} FROM pos CROSS JOIN c LEFT JOIN (SELECT * FROM nmaps WHERE subject = 0) m ON m.x = floor(sx) + a AND m.y = floor(sy) + b AND m.z = floor(sz) + c GROUP BY tx, ty, tz",
         "tensor_fa": f"WITH {FA}, e AS (SELECT voxel, 0.0005::DOUBLE + fa * 0.001::DOUBLE AS a, 0.0005::DOUBLE AS b FROM fa) SELECT voxel, {r('sqrt(pow(a - b, 2) / (a * a + 2 * b * b))', 'fa')} FROM e",
-        "common_mask": f"WITH {MAPS}, c AS (SELECT * FROM maps WHERE subject % 10 <> 0 AND subject < 5) SELECT x, y, z FROM c GROUP BY x, y, z HAVING count(*) = (SELECT count(DISTINCT subject) FROM c)",
+        "common_mask": f"WITH {MAPS}, c AS (SELECT * FROM maps WHERE subject % 10 = 0) SELECT x, y, z FROM c GROUP BY x, y, z HAVING count(*) = (SELECT count(DISTINCT subject) FROM c)",
         "mask_mismatch": f"WITH {REF}, e AS (SELECT count(*) AS expected FROM good) SELECT subject, count(*) AS voxels, max(expected) AS expected, CASE WHEN count(*) <> max(expected) THEN 'mask differs; neighbourhoods at its edge differ too' END AS warning FROM maps, e WHERE subject % 10 = 0 GROUP BY subject",
         "batch_reference": f"WITH {MAPS}, c AS (SELECT *, count(*) OVER (PARTITION BY subject) AS k FROM maps WHERE subject % 10 <> 0), d AS (SELECT * FROM c WHERE k >= 190), vox AS (SELECT DISTINCT x, y, z FROM d), sub AS (SELECT DISTINCT subject FROM d), full_ AS (SELECT x, y, z, coalesce(value, 0) AS value, value IS NOT NULL AS there FROM vox CROSS JOIN sub LEFT JOIN d USING (subject, x, y, z)) SELECT x, y, z, {r('avg(value)', 'mean')}, {r('coalesce(stddev_samp(value), 0)', 'sd')}, bool_and(there) AS in_mask FROM full_ GROUP BY x, y, z",
         "batch_reference_errors": f"WITH {MAPS} SELECT subject, 'only ' || count(*) || ' voxels' AS reason FROM maps WHERE subject % 10 <> 0 GROUP BY subject HAVING count(*) < 190",
         "synthetic_coupling_ref": "SELECT region, CAST(100 AS BIGINT) AS n, true AS mean_ok, true AS sd_ok FROM range(200) q(region)",
         "checksums": "SELECT 'p' || p_partkey AS path, sha256(p_name) AS sha256 FROM part",
         "checksum_verify": "SELECT 'p' || p_partkey AS path, p_partkey NOT IN (7, 9) AS ok FROM part",
-        "compute_measure": f"""WITH {spectrum()}, pos AS (SELECT vec_id, x, y, z FROM bold WHERE vec_id % 7 <> 0),
+        "compute_measure": f"""WITH {spectrum()}, pos AS (SELECT vec_id, x, y, z FROM bold WHERE label <> 0),
 c AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM long), a AS (SELECT a.vec_id, lag, sum(a.v * b.v) AS s FROM c a, range(1, 20) q(lag) JOIN c b ON b.vec_id = a.vec_id AND b.t = a.t + lag GROUP BY a.vec_id, lag),
 n AS (SELECT vec_id, sum(v * v) AS n FROM c GROUP BY vec_id), f AS (SELECT vec_id, coalesce(min(lag) FILTER (WHERE s <= 0), 99) AS stop FROM a GROUP BY vec_id),
 m AS (SELECT 'alff' AS measure, vec_id, avg(amp) FILTER (WHERE k BETWEEN 1 AND 3) AS v FROM amp GROUP BY vec_id
   UNION ALL SELECT 'rsfa', vec_id, sqrt(sum(2 * pow(amp * 32, 2)) FILTER (WHERE k BETWEEN 1 AND 3) / (64 * 63)) FROM amp GROUP BY vec_id
   UNION ALL SELECT 'int', vec_id, 0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop), 0) FROM a JOIN n USING (vec_id) JOIN f USING (vec_id) GROUP BY vec_id)
 SELECT measure, x, y, z, {r("v", "value")} FROM m JOIN pos USING (vec_id)""",
-        "nifti_scan": f"WITH {MAPS} SELECT subject, x, y, z, {r('round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3)', 'value')} FROM maps WHERE subject % 10 = 0",
-        "tractogram_scan": "SELECT l_orderkey AS sl, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS ord, CAST(l_linenumber AS INTEGER) AS px, CAST(l_partkey % 100 AS INTEGER) AS py FROM lineitem WHERE l_orderkey % 10 = 0",
+        "nifti_scan": f"WITH {MAPS} SELECT subject, x, y, z, {r('round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3)', 'value')} FROM maps",
+        "tractogram_scan": "SELECT l_orderkey % 64 AS file, dense_rank() OVER (PARTITION BY l_orderkey % 64 ORDER BY l_orderkey) - 1 AS sl, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS ord, CAST(l_linenumber AS INTEGER) AS px, CAST(l_partkey % 100 AS INTEGER) AS py FROM lineitem",
         "gradient_scan": 'SELECT CAST(g AS INTEGER) AS g, bval::DOUBLE AS bval, bx::DOUBLE AS bx, "by"::DOUBLE AS "by", bz::DOUBLE AS bz FROM (VALUES (0, 0, 0, 0, 0), (1, 1000, 1, 0, 0), (2, 1000, 0, 1, 0), (3, 2000, 0, 0.6, 0.8)) q(g, bval, bx, "by", bz)',
         "npz_roundtrip": f"WITH {REF} SELECT x, y, z, {r('mean')}, {r('sd')}, true AS in_mask FROM good",
         "synthetic_bold": "WITH g AS (SELECT CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y, CAST(c AS INTEGER) AS z, CAST(t AS INTEGER) AS t FROM range(6) a(a), range(6) b(b), range(6) c(c), range(16) t(t)) SELECT x, y, z, t, " + r("sum(exp(-(pow(x - 6 * (k % 3 + 1) / 4::DOUBLE, 2) + pow(y - 6 * (k % 5 + 1) / 6::DOUBLE, 2) + pow(z - 6 * (k % 2 + 1) / 3::DOUBLE, 2)) / 8) * sin(2 * pi() * (0.012::DOUBLE + 0.01::DOUBLE * k) * 0.72::DOUBLE * t))", "v") + " FROM g, range(8) q(k) GROUP BY x, y, z, t",

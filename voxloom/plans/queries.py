@@ -39,7 +39,7 @@ def brain_mask(spark, sf):
 
 def masked_inflate(spark, sf):
     b = X.bold(spark, sf)
-    mask = b.select("x", "y", "z", (F.col("vec_id") % 3).alias("value"))
+    mask = b.select("x", "y", "z", F.col("label").alias("value"))
     inside = S.explicit_mask(b, mask).select("x", "y", "z", F.get("ts", F.lit(0)).alias("value"))
     return _round(S.inflate(inside, b.select("x", "y", "z")), "value")
 
@@ -496,7 +496,7 @@ def tensor_fa(spark, sf):
 
 
 def common_mask(spark, sf):
-    return C.common_mask(X.cohort(X.maps(spark, sf)).filter("subject < 5"))
+    return C.common_mask(X.held_out(X.maps(spark, sf)))
 
 
 def mask_mismatch(spark, sf):
@@ -532,7 +532,7 @@ def checksum_verify(spark, sf):
 def compute_measure(spark, sf):
     """Three measures through the registry, over an explicit mask."""
     b = X.bold(spark, sf)
-    mask = b.select("x", "y", "z", (F.col("vec_id") % 7).alias("value"))
+    mask = b.select("x", "y", "z", F.col("label").alias("value"))
     parts = [M.compute(k, b, M.Parameters(cluster=7), mask).select(F.lit(k).alias("measure"), "x", "y", "z", "value") for k in ("alff", "rsfa", "int")]
     return _round(parts[0].unionByName(parts[1]).unionByName(parts[2]), "value")
 
@@ -542,26 +542,28 @@ def compute_measure(spark, sf):
 
 def nifti_scan(spark, sf):
     """Maps written as images and read again; values are float32 there."""
-    m = X.held_out(X.maps(spark, sf)).withColumn("value", F.col("value").cast("float").cast("double"))
+    m = X.maps(spark, sf).withColumn("value", F.col("value").cast("float").cast("double"))
     back = I.voxels(I.images(m, "subject", (5, 5, 8)))
     out = back.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("subject"), "x", "y", "z", F.get("ts", F.lit(0)).alias("value"))
     return _round(out.withColumn("value", F.col("value").cast("float").cast("double")).filter("value <> 0").withColumn("value", F.round("value", 3)), "value")
 
 
 def tractogram_scan(spark, sf):
-    """An order's lines as a streamline's points, written as .tck and read again."""
+    """Orders as streamlines, their lines as points: 64 .tck files written and read again."""
     import numpy as np
     import pyarrow as pa
 
-    lines = X.table(spark, sf, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = X.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 64).alias("file"), "l_orderkey", "l_linenumber", "l_partkey")
 
     def pack(t):
-        order = np.lexsort((t["l_partkey"].to_numpy(), t["l_linenumber"].to_numpy()))
-        p = np.stack([t["l_linenumber"].to_numpy()[order], t["l_partkey"].to_numpy()[order] % 100, np.arange(len(order))], 1)
-        return pa.table({"path": [str(t["l_orderkey"][0].as_py())], "content": [I.tck_bytes([p])]})
-
-    back = I.streamlines(lines.groupBy("l_orderkey").applyInArrow(pack, "path string, content binary"))
-    return back.select(F.col("path").cast("long").alias("sl"), "ord", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
+        key, number, part = (t[c].to_numpy() for c in ("l_orderkey", "l_linenumber", "l_partkey"))
+        order = np.lexsort((part, number, key))
+        start = np.flatnonzero(np.diff(key[order], prepend=-1))
+        points = np.stack([number[order], part[order] % 100, np.zeros(len(order))], 1)
+        return pa.table({"path": [str(t["file"][0].as_py())], "content": [I.tck_bytes(np.split(points, start[1:]))]})
+
+    back = I.streamlines(lines.groupBy("file").applyInArrow(pack, "path string, content binary"))
+    return back.select(F.col("path").cast("long").alias("file"), "sl", "ord", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
 
 
 def gradient_scan(spark, sf):
