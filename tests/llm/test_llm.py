@@ -226,7 +226,7 @@ def test_one_of_each(spark, docs, empty):
         w[150] = "changed"
         rows += [(100 + k, " ".join(w)), (200 + k, base[k].upper())]
     rows += [(300, None), (301, ""), (302, " \n"), (29, base[29])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__x", F.lit(1)).withColumn("bits", F.lit(2))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit(1)).withColumn("bits", F.lit(2))
     got = sorted(r.doc_id for r in simhash_dedup.one_of_each(df, Scratch(spark, "t")).collect())
     assert got == [*range(30), 300, 301, 302]
     assert set(simhash_dedup.one_of_each(docs, Scratch(spark, "t")).columns) == set(docs.columns)
@@ -502,6 +502,22 @@ def test_pipeline(spark):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), texts(docs))
 
 
+def test_pipeline_stages_with_odd_rows(spark, docs, empty):
+    """Each stage over nulls, empty and long texts, repeated rows, clashing columns and no rows at all."""
+    import corpus_pipeline
+
+    odd = docs.withColumn("__key", F.lit(1)).withColumn("__removed", F.lit(2))
+    for df in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            n = out.count()
+            if name != "packing":
+                assert n <= len(ROWS) and {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns)
+            assert n or df is empty
+    kept = corpus_pipeline.STAGES[2][1](spark, odd, SF).collect()
+    assert sum(r.doc_id == 9 for r in kept) == 1 and sum(r.doc_id in (7, 8) for r in kept) == 1
+
+
 def test_all_ten_are_registered():
     import __spark_entry__ as entry
 

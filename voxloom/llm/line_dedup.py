@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, batches, doc_text
+from .util import Scratch, batches, doc_text, plain
 
 DIVISORS = (1, 4)
 #: Chunks with fewer words are left alone: blank lines and stock phrases.
@@ -115,7 +115,8 @@ def repeated(docs: DataFrame, scratch: Scratch, divisors=DIVISORS, min_words: in
 
 
 def remove(docs: DataFrame, scratch: Scratch, divisors=DIVISORS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with all its columns, repeated chunks removed, plus __lines and __removed."""
+    """docs with all its columns (but those named with two underscores), repeated chunks removed, plus __lines and __removed."""
+    docs = plain(docs)
     marks = repeated(docs, scratch, divisors, min_words).withColumnRenamed("key", "__key").withColumnRenamed("marks", "__marks")
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     joined = keyed.join(marks, "__key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__marks")

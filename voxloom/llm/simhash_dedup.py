@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components, local_roots
-from .util import Scratch, batches, doc_text
+from .util import Scratch, batches, doc_text, plain
 
 SEED = 42
 MAX_BITS = 4
@@ -278,11 +278,12 @@ def _wide_links(limit: int, n_pivots: int):
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """docs with all its columns: of each group of near-duplicates the smallest doc_id stays, once.
+    """docs with all its columns (but those named with two underscores): of each group of near-duplicates the smallest doc_id stays, once.
 
     Texts with the same words are one class. Null texts and texts without words are left as they
     are; rows without doc_id stay if nothing with an id is like them.
     """
+    docs = plain(docs)
     text = doc_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     prints = scratch.table(text.mapInArrow(_wide_prints(size), "doc_id long, key long, same long, bits binary"), "prints")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "key"))

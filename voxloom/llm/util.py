@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,24 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """docs without columns whose names start with two underscores: those names are the operators' own."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
+
+
 def batches(it, rows: int = TEXT_BATCH, nbytes: int = 8 << 20):
     """Arrow batches cut to a bounded number of rows, and of about nbytes at most unless one row is larger."""
     for b in it:
         step = max(1, min(rows, int(b.num_rows * nbytes / max(1, b.nbytes)))) if b.num_rows else 1
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+    pa.default_memory_pool().release_unused()  # the worker lives on
+
+
+def hashed_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
+    """The rows with the smallest hashes of cols, at most rows of them. Where there are more, a
+    hash filter leaves little over that many first, so no task meets more than it has to."""
+    h = F.xxhash64(*cols)
+    if total > rows:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < min(1 << 30, int(1.1 * rows / total * (1 << 30)) + 1))
+    return df.orderBy(h, *cols).limit(rows)
