@@ -216,6 +216,18 @@ def test_links_lose_nothing(spark):
     assert got == union(len(fps), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4])
 
 
+def test_leaders_link_as_all_pairs_do():
+    rng = np.random.Generator(np.random.PCG64(18))
+    ball = np.uint64(0x0F0F123456789ABC) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (900, 3)).astype(np.uint64), axis=1)
+    fp = np.unique(np.concatenate([ball, rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    dist = np.bitwise_count(fp[:, None] ^ simhash_dedup.pivots(8)[None, :]).astype(np.int16)
+    for limit in (2, 4, 20):
+        i, j = simhash_dedup.link_group(fp[:, None], dist, limit)
+        got = union(len(fp), zip(i.tolist(), j.tolist()))
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= limit
+        assert got == union(len(fp), zip(*np.nonzero(near)))
+
+
 def test_one_of_each(spark, docs, empty):
     rng = np.random.Generator(np.random.PCG64(8))
     words = [f"t{k}" for k in range(3000)]

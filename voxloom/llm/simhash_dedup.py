@@ -81,6 +81,50 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+#: From this size on, rows of one key are linked by leaders first.
+LARGE_GROUP = 512
+
+
+def link_group(fp: np.ndarray, dist: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all rows of fp (rows x words) within limit bits, as comparing all pairs would.
+
+    Leaders take all rows near them that are still free. Two rows of the largest such cluster
+    are connected already, so only the rows outside it are compared with all others: a group
+    of near copies costs its size times the few rows apart from it, not its square.
+    """
+
+    def near(k: int, among: np.ndarray) -> np.ndarray:
+        among = among[np.abs(dist[among] - dist[k]).max(1) <= limit]
+        return among[np.bitwise_count(fp[among] ^ fp[k]).sum(1, dtype=np.int64) <= limit]
+
+    free, cluster, ii, jj = np.arange(len(fp)), np.zeros(len(fp), np.int64), [], []
+    while len(free):
+        got = near(free[0], free)
+        cluster[got] = free[0]
+        ii.append(got)
+        jj.append(np.full(len(got), free[0]))
+        free = np.setdiff1d(free, got, assume_unique=True)
+    everyone = np.arange(len(fp))
+    for k in np.flatnonzero(cluster != np.bincount(cluster).argmax()):
+        got = near(k, everyone)
+        ii.append(got)
+        jj.append(np.full(len(got), k))
+    i, j = np.concatenate(ii), np.concatenate(jj)
+    root = local_roots(len(fp), i, j)
+    far = np.flatnonzero(root != everyone)
+    return far, root[far]
+
+
+def _large_groups(key: np.ndarray):
+    """(first, last) of the runs of equal keys that are large, and which rows are in none."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    large = [(a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()) if b - a >= LARGE_GROUP]
+    rest = np.ones(len(key), bool)
+    for a, b in large:
+        rest[a:b] = False
+    return large, rest
+
+
 def _links(max_bits: int, n_pivots: int):
     table = pivots(n_pivots)
 
@@ -88,7 +132,12 @@ def _links(max_bits: int, n_pivots: int):
         """Spanning links of the verified pairs among rows sorted by key and first coordinate."""
         dist = np.bitwise_count(fp[:, None] ^ table[None, :]).astype(np.int16)
         d0, n = dist[:, 0], len(fp)
-        at, shift, ii, jj = np.arange(n), 0, [], []
+        large, rest = _large_groups(key)
+        at, shift, ii, jj = np.flatnonzero(rest), 0, [], []
+        for a, b in large:
+            i, j = link_group(fp[a:b, None], dist[a:b], max_bits)
+            ii.append(a + i)
+            jj.append(a + j)
         held, root = 0, None
         while True:
             shift += 1
@@ -234,7 +283,12 @@ def _wide_links(limit: int, n_pivots: int):
     def flush(key, fp, rep):
         dist = np.stack([np.bitwise_count(fp ^ p[None, :]).sum(1, dtype=np.int16) for p in table], 1)
         n, shift, ii, jj, held = len(key), 0, [], [], 0
-        at = np.arange(n)
+        large, rest = _large_groups(key)
+        at = np.flatnonzero(rest)
+        for a, b in large:
+            i, j = link_group(fp[a:b], dist[a:b], limit)
+            ii.append(a + i)
+            jj.append(a + j)
         while True:
             shift += 1
             at = at[at + shift < n]
