@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, batches, doc_text
+from .util import Scratch, batches, doc_text, hashed_sample
 
 FIT_ROWS = 30_000
 LEXICON = 512
@@ -209,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FI
     """docs (doc_id, text); labels (doc_id, toxic). Two thirds of the sample make lexicon and trees, one third the calibration."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out())
-    chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = hashed_sample(known, fit_rows, known.count(), "doc_id")
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).cast("int")
     sample = scratch.table(doc_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "y", part.alias("part")), "sample")
     sums = {(r.part == 0, r.y): r.n for r in sample.groupBy((F.col("part") == 0).alias("part"), "y").agg(F.count("*").alias("n")).collect()}
