@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import Scratch
+from .util import Scratch, plain
 
 LEVELS = ("domain", "lang", "source")
 SEED = 11
 MAX_EPOCHS = 2
+#: Lengths of the order key's prefixes (hexadecimal digits) on the way to the last document.
+PREFIXES = (2, 4)
 BUDGET_SHARE = 1.0
 #: Target weights; other languages get OTHER, all domains and sources the same.
 LANGUAGES = {"en": 50.0, "de": 20.0, "fr": 15.0, "es": 15.0}
@@ -71,28 +73,32 @@ def order_key(epoch: Column) -> Column:
 
 
 def select(docs: DataFrame, scratch: Scratch, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """docs with all its columns, one row for each time a document is drawn, plus __tokens and __epoch (from 0).
+    """docs with all its columns (but those named with two underscores), one row for each time a document is drawn, plus __tokens and __epoch (from 0).
 
     Documents without words supply nothing and are drawn in whole epochs only; equal rows have
     equal order keys and are drawn together; an empty table gives no rows.
     """
+    docs = plain(docs)
     sizes = scratch.table(with_leaf(docs).select("doc_id", *_KEYS, "__tokens"), "sizes")
     leaves = sizes.groupBy(*_KEYS).agg(F.sum("__tokens").alias("tokens"))
     plan = budgets(leaves, share, max_epochs).withColumn("budget", F.floor(F.col("budget") + 1e-6))
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     plan = scratch.table(plan.select(*_KEYS, "whole", "rest"), "plan")
-    keyed = sizes.join(plan, _KEYS).withColumn("key", order_key(F.col("whole"))).withColumn("bucket", F.substring("key", 1, 3))
-    buckets = keyed.groupBy(*_KEYS, "rest", "bucket").agg(F.sum("__tokens").alias("n"))
-    before = F.sum("n").over(W.partitionBy(*_KEYS).orderBy("bucket")) - F.col("n")
-    crossing = buckets.withColumn("before", before).filter("before <= rest").filter("before + n > rest").select(*_KEYS, "bucket", "before")
-    within = keyed.join(crossing, [*_KEYS, "bucket"])
+    keyed = sizes.join(plan, _KEYS).withColumn("key", order_key(F.col("whole"))).select(*_KEYS, "__tokens", "rest", "key")
+    crossing = plan.select(*_KEYS, F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for depth in PREFIXES:  # down to the bucket of keys in which the budget runs out; a leaf has few buckets at any size
+        inside = keyed.join(crossing, _KEYS).filter(F.col("key").startswith(F.col("prefix")))
+        buckets = inside.groupBy(*_KEYS, "rest", "before", F.substring("key", 1, depth).alias("bucket")).agg(F.sum("__tokens").alias("n"))
+        before = F.col("before") + F.sum("n").over(W.partitionBy(*_KEYS).orderBy("bucket")) - F.col("n")
+        edge = buckets.withColumn("before", before).filter("before <= rest and before + n > rest")
+        crossing = scratch.table(edge.select(*_KEYS, F.col("bucket").alias("prefix"), "before"), f"crossing{depth}")  # one row a leaf
+    within = keyed.join(crossing, _KEYS).filter(F.col("key").startswith(F.col("prefix")))
     upto = F.sum("__tokens").over(W.partitionBy(*_KEYS).orderBy("key").rangeBetween(W.unboundedPreceding, 0)) + F.col("before")
     last = within.withColumn("upto", upto).filter("upto <= rest").groupBy(*_KEYS).agg(F.max("key").alias("last"))
-    floor_ = crossing.select(*_KEYS, F.col("bucket").alias("start"))
-    cut = plan.join(floor_, _KEYS, "left").join(last, _KEYS, "left").select(*_KEYS, F.col("whole").alias("__whole"), F.coalesce("last", "start", F.lit("")).alias("__last"))
+    cut = plan.join(crossing, _KEYS, "left").join(last, _KEYS, "left").select(*_KEYS, F.col("whole").alias("__whole"), F.coalesce("last", "prefix", F.lit("")).alias("__last"))
     cut = scratch.table(cut, "cut")
     drawn = with_leaf(docs).join(cut, _KEYS)
-    times = F.col("__whole") + F.when((order_key(F.col("__whole")) <= F.col("__last")), 1).otherwise(0)
+    times = F.col("__whole") + F.when((F.col("__tokens") > 0) & (order_key(F.col("__whole")) <= F.col("__last")), 1).otherwise(0)
     drawn = drawn.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], "__tokens", "__epoch")
 
@@ -124,7 +130,7 @@ leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {
         + rf""",
 plan AS (SELECT domain, lang, source, floor(floor(budget + 1e-6) / tokens) AS whole, floor(budget + 1e-6) - floor(floor(budget + 1e-6) / tokens) * tokens AS rest FROM leaf JOIN (SELECT domain, lang, source, budget FROM b2) USING (domain, lang, source)),
 o AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(whole AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN plan USING (domain, lang, source)),
-t AS (SELECT *, CAST(whole AS BIGINT) + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS times FROM o)
+t AS (SELECT *, CAST(whole AS BIGINT) + CASE WHEN upto <= rest AND n_tokens > 0 THEN 1 ELSE 0 END AS times FROM o)
 SELECT doc_id, lang0 AS lang, source0 AS source, CAST(unnest(range(times)) AS INTEGER) AS epoch, n_tokens FROM t
 """
     )
