@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_roots
-from .util import Scratch
+from .util import Scratch, hashed_sample
 
 THRESHOLD = 0.95
 TREES = 8
@@ -180,7 +180,7 @@ def links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tr
     sc = vectors.sparkSession.sparkContext
     classes = scratch.table(vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.col("embedding"))).limit(sample_rows).select("embedding").collect()
+    sample = hashed_sample(classes.select("embedding"), sample_rows, total, "embedding").collect()
     dim = max((len(r[0]) for r in sample), default=1)
     fit = np.zeros((len(sample), dim))
     for k, r in enumerate(sample):
