@@ -171,6 +171,19 @@ def test_op2_tiles_count_each_pair_once(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in embedding_dedup.op2(spark, df).collect()} == {(299, 0)}
 
 
+def test_op2_dense_group_loses_no_links(spark):
+    """A third of the rows in one group of distinct vectors around the threshold."""
+    rng = np.random.Generator(np.random.PCG64(21))
+    group = rng.standard_normal(64) / 8 + math.sqrt(1 / 0.955 - 1) / 8 * rng.standard_normal((2000, 64))
+    x = np.vstack([group, rng.standard_normal((4000, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert 0.5 < want[:2000].mean() / 2000 < 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.op2(spark, df).collect()}
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * want.sum()
+
+
 def fingerprint(t):
     from xxhash import xxh64_intdigest
 

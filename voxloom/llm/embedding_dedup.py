@@ -5,6 +5,10 @@ the median; vectors near the split go to both sides. All vectors fall into leave
 compared there in double precision, and the links of all trees are united: a pair that meets
 in several leaves counts in the one with the smallest number. Equal vectors are one class.
 A leaf that stays large is cut into tiles, and each pair of tiles is its own task.
+
+Dense groups of the sample get a ball each, before the trees: its core is the group, and all
+vectors within the threshold's angle of the core are compared whole in it. Angles are a metric,
+so a core vector meets all its links in its ball and stays out of the trees.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ TILE = 1024
 SAMPLE = 20_000
 #: Share of a node's margin at which a vector goes both ways, in standard deviations of a threshold pair's projected distance.
 SPILL = 0.3
+#: Sample rows that make a group dense, and the most rows of a ball for each one of its core.
+DENSE, BALL = 16, 4
 _SEED = 7
 
 
@@ -33,6 +39,47 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def balls(sample: np.ndarray, total: int, leaf: int = LEAF, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, angles of the cores) of the sample's dense groups, from the largest on; the groups stand for more than leaf rows."""
+    ratio, theta = max(1.0, total / max(1, len(sample))), math.acos(threshold)
+    least = max(DENSE, leaf / ratio)
+    x = sample.astype(np.float32)
+    degree = np.concatenate([(x[a : a + 512] @ x.T >= threshold).sum(1) for a in range(0, len(x), 512)] or [np.zeros(0, int)])
+    free, centres, cores = degree >= least, [], []
+    while free.any():
+        k = int(np.argmax(np.where(free, degree, -1)))
+        free[k] = False
+        centre = sample[sample @ sample[k] >= threshold].mean(0)
+        for _ in range(3):
+            centre = centre / np.linalg.norm(centre)
+            angle = np.arccos(np.clip(sample @ centre, -1, 1))
+            centre = sample[angle <= theta].mean(0) if (angle <= theta).any() else centre
+        centre = centre / np.linalg.norm(centre)
+        angle = np.arccos(np.clip(sample @ centre, -1, 1))
+        group = angle[angle <= theta]
+        if not len(group):
+            continue
+        core = float(np.quantile(group, 0.99)) + 0.05
+        inside = (angle <= core).sum()
+        if inside >= least and (angle <= core + theta).sum() <= BALL * inside:
+            centres.append(centre)
+            cores.append(core)
+            free &= angle > core
+        else:
+            free &= angle > theta / 2
+    return np.array(centres).reshape(-1, sample.shape[1]), np.array(cores)
+
+
+def in_balls(found: tuple[np.ndarray, np.ndarray], x: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, ball) of each vector in each ball, and which vectors are in no core."""
+    centres, cores = found
+    if not len(cores) or not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(len(x), bool)
+    angle = np.arccos(np.clip(x @ centres[:, : x.shape[1]].T, -1, 1))
+    row, ball = np.nonzero(angle <= cores + (math.acos(threshold) + 1e-6))
+    return row, ball, ~(angle <= cores).any(1)
+
+
 def grow(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, threshold: float = THRESHOLD, spill: float = SPILL) -> list[list]:
     """Per tree a list of nodes: (direction, split, margin, left, right), or a leaf's number."""
     rng = np.random.Generator(np.random.PCG64(_SEED))
@@ -80,6 +127,24 @@ def leaves(forest: list[list], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(nums)
 
 
+def fit(sample: np.ndarray, total: int, trees: int = TREES, threshold: float = THRESHOLD) -> tuple:
+    """(balls, forest, threshold); the forest is grown on what is in no core."""
+    found = balls(sample, total, threshold=threshold)
+    rest = sample[in_balls(found, sample, threshold)[2]]
+    return found, grow(rest, round(total * len(rest) / max(1, len(sample))), trees, threshold=threshold), threshold
+
+
+def places(model: tuple, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each vector in each ball and leaf that it takes part in; the balls come first."""
+    found, forest, threshold = model
+    row, ball, free = in_balls(found, x, threshold)
+    own = np.flatnonzero(free)
+    if not len(own):
+        return row, ball
+    at, leaf = leaves(forest, x[own])
+    return np.concatenate([row, own[at]]), np.concatenate([ball, leaf + len(found[1])])
+
+
 def _vectors(col) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per length: (row numbers, vectors as doubles)."""
     if isinstance(col, pa.ChunkedArray):
@@ -89,18 +154,18 @@ def _vectors(col) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(own := np.flatnonzero(lens == n), flat[at[own][:, None] + np.arange(n)]) for n in np.unique(lens)]
 
 
-def _count(forest_b):
+def _count(model_b):
     def run(it):
         for b in it:
             for _, x in _vectors(b.column(0)):
-                _, leaf = leaves(forest_b.value, _unit(x))
+                _, leaf = places(model_b.value, _unit(x))
                 num, n = np.unique(leaf, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(num), pa.array(n)], ["leaf", "n"])
 
     return run
 
 
-def _deal(forest_b, tiles_b):
+def _deal(model_b, tiles_b):
     """A row for each (leaf, pair of tiles) that a vector takes part in."""
 
     def run(it):
@@ -109,7 +174,7 @@ def _deal(forest_b, tiles_b):
                 b = whole.slice(at, 2048)
                 ids, n = b.column("rep").to_numpy(), b.column("n").to_numpy()
                 for own, x in _vectors(b.column("embedding")):
-                    row, leaf = leaves(forest_b.value, _unit(x))
+                    row, leaf = places(model_b.value, _unit(x))
                     order = np.argsort(row, kind="stable")
                     edge = np.searchsorted(row[order], np.arange(len(x) + 1))
                     sets = [np.sort(leaf[order[a:z]]).astype("<i8").tobytes() for a, z in zip(edge, edge[1:])]
@@ -182,14 +247,14 @@ def links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tr
     total = classes.count()
     sample = hashed_sample(classes.select("embedding"), sample_rows, total, "embedding").collect()
     dim = max((len(r[0]) for r in sample), default=1)
-    fit = np.zeros((len(sample), dim))
+    x = np.zeros((len(sample), dim))
     for k, r in enumerate(sample):
-        fit[k, : len(r[0])] = r[0]
-    forest = sc.broadcast(grow(_unit(fit) if len(fit) else fit, total, trees, threshold=threshold))
+        x[k, : len(r[0])] = r[0]
+    model = sc.broadcast(fit(_unit(x) if len(x) else x, total, trees, threshold))
     each = classes.select(F.col("embedding").cast("array<double>").alias("embedding"), "rep", "n").repartition("rep")
-    sizes = each.select("embedding").mapInArrow(_count(forest), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    large = {r.leaf: -(-r.n // TILE) for r in sizes.filter(F.col("n") > TILE).collect()}  # at most as many as the forest has leaves
-    dealt = each.mapInArrow(_deal(forest, sc.broadcast(large)), "leaf long, t1 long, t2 long, tile long, rep long, n long, vec binary, leaves binary")
+    sizes = each.select("embedding").mapInArrow(_count(model), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    large = {r.leaf: -(-r.n // TILE) for r in sizes.filter(F.col("n") > TILE).collect()}  # at most as many as the model has balls and leaves
+    dealt = each.mapInArrow(_deal(model, sc.broadcast(large)), "leaf long, t1 long, t2 long, tile long, rep long, n long, vec binary, leaves binary")
     return classes, dealt.groupBy("leaf", "t1", "t2").applyInArrow(_compare(threshold), "a long, n long, b long")
 
 
