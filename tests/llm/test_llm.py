@@ -258,6 +258,29 @@ def test_one_of_each(spark, docs, empty):
     assert simhash_dedup.one_of_each(empty, Scratch(spark, "t")).count() == 0
 
 
+def test_near_duplicates_by_exact_similarity(spark):
+    """Pairs just above the similarity lose one document, those below it lose none, also in a group that shares a text."""
+    rng = np.random.Generator(np.random.PCG64(22))
+    rows, lost = [], 0
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(160):
+        w = [f"d{k}w{j}" for j in rng.integers(0, 10**6, 400)]
+        v, least = list(w), (0.805, 0.74)[k % 2]
+        while True:
+            u = list(v)
+            u[rng.integers(len(u))] = f"new{rng.integers(10**9)}"
+            a, b = grams(w), grams(u)
+            if len(a & b) < least * len(a | b):
+                break
+            v = u
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        lost += k % 2 == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash_dedup.one_of_each(df, Scratch(spark, "t")).collect()}
+    assert all(2 * k in got for k in range(160)) and all(2 * k + 1 in got for k in range(1, 160, 2))
+    assert sum(2 * k + 1 not in got for k in range(0, 160, 2)) >= 0.95 * lost
+
+
 # 3 toxicity
 
 

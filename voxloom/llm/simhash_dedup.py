@@ -224,13 +224,20 @@ def op10(spark, docs: DataFrame) -> DataFrame:
 
 
 # Wider fingerprints for a lower similarity: the share of differing bits estimates the angle
-# between shingle sets, and sets with Jaccard similarity J have cosine 2J / (1 + J).
+# between shingle sets, and sets with Jaccard similarity J have cosine 2J / (1 + J). They only
+# give candidates; each link is a pair whose shingle sets were compared.
 
 WIDE = 256
 WIDE_WORDS = 5
-#: Similarity 0.8 is an angle of 0.476, 38.8 of 256 bits on average; the rest is for the spread of the estimate.
-WIDE_BITS = 42
-BAND_BITS, BANDS = 16, 48
+#: Documents are near-duplicates from this Jaccard similarity of their sets of shingles on.
+SIMILARITY = 0.8
+#: Similarity 0.8 is an angle of 0.476, 38.8 of 256 bits on average; the rest is over three deviations of the estimate.
+WIDE_BITS = 58
+BAND_BITS, BANDS = 16, 96
+#: Bands and leaders of the first round, which leaves little of large groups.
+LEADER_BANDS, LEADERS = 16, 8
+#: Pairs of sets in one Arrow batch: a set may be as long as its document.
+ALIKE_BATCH = 256
 _FAMILIES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -277,41 +284,40 @@ def _bands(bands: int, width: int):
     return run
 
 
-def _wide_links(limit: int, n_pivots: int):
+def _wide_pairs(limit: int, n_pivots: int, leaders: int):
+    """Pairs of one key within limit bits: each row with its leader, for so many leaders a key; all pairs if leaders is 0."""
     table = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (n_pivots, WIDE // 64), dtype=np.uint64)
 
-    def flush(key, fp, rep):
+    def batch(rep, i, j):
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
+
+    def by_leaders(key, fp, rep):
+        at = np.arange(len(key))
+        for _ in range(leaders):
+            first = np.concatenate([[True], key[at[1:]] != key[at[:-1]]]) if len(at) else np.zeros(0, bool)
+            lead = at[first][np.cumsum(first) - 1]
+            near = ~first & (np.bitwise_count(fp[at] ^ fp[lead]).sum(1, dtype=np.int16) <= limit)
+            if near.any():
+                yield batch(rep, at[near], lead[near])
+            at = at[~first & ~near]
+            if not len(at):
+                break
+
+    def by_all(key, fp, rep):
         dist = np.stack([np.bitwise_count(fp ^ p[None, :]).sum(1, dtype=np.int16) for p in table], 1)
-        n, shift, ii, jj, held = len(key), 0, [], [], 0
-        large, rest = _large_groups(key)
-        at = np.flatnonzero(rest)
-        for a, b in large:
-            i, j = link_group(fp[a:b], dist[a:b], limit)
-            ii.append(a + i)
-            jj.append(a + j)
-        while True:
+        at, shift = np.arange(len(key)), 0
+        while len(at):
             shift += 1
-            at = at[at + shift < n]
+            at = at[at + shift < len(key)]
             at = at[key[at] == key[at + shift]]
-            if not len(at):
-                break
             for a in range(0, len(at), 1 << 16):
                 i = at[a : a + (1 << 16)]
                 j = i + shift
                 near = np.abs(dist[i] - dist[j]).max(1) <= limit
                 i, j = i[near], j[near]
                 true = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int16) <= limit
-                ii.append(i[true])
-                jj.append(j[true])
-                held += int(true.sum())
-            if held > 4_000_000:
-                root = local_roots(n, np.concatenate(ii), np.concatenate(jj))
-                far = np.flatnonzero(root != np.arange(n))
-                ii, jj, held = [far], [root[far]], len(far)
-        if ii:
-            root = local_roots(n, np.concatenate(ii), np.concatenate(jj))
-            far = np.flatnonzero(root != np.arange(n))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[root[far]])], ["a", "b"])
+                if true.any():
+                    yield batch(rep, i[true], j[true])
 
     def run(it):
         held, n = [], 0
@@ -322,19 +328,88 @@ def _wide_links(limit: int, n_pivots: int):
             n += b.num_rows
             if n >= BUFFER_ROWS:
                 key, fp, rep = (np.concatenate(c) for c in zip(*held))
-                yield from flush(key, fp, rep)
-                tail = key == key[-1]
+                yield from (by_leaders if leaders else by_all)(key, fp, rep)
+                tail = np.flatnonzero(key == key[-1])
+                tail = tail[:64] if leaders else tail
                 held, n = [(key[tail], fp[tail], rep[tail])], 0
         if held:
-            yield from flush(*(np.concatenate(c) for c in zip(*held)))
+            yield from (by_leaders if leaders else by_all)(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
+def _sets(size: int):
+    """The sorted distinct shingle hashes of each text."""
+
+    def run(it):
+        for b in batches(it):
+            raw = [np.unique(shingle_hashes(x, size)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["rep", "grams"])
+
+    return run
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    """Similarity of two sets of hashes from _sets."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / max(1, len(both) - common)
+
+
+def _alike(least: float):
+    def run(it):
+        for b in it:
+            near = [jaccard(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, text: DataFrame, scratch: Scratch, name: str, size: int = WIDE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts in (key, text) have that similarity; a text may come more than once."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    some = text.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = scratch.table(some.mapInArrow(_sets(size), "rep long, grams binary"), f"{name}-sets")
+    one = pairs.join(sets.withColumnRenamed("rep", "b").withColumnRenamed("grams", "gb"), "b")
+    two = one.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("grams", "ga"), "a")
+    conf, rows = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, ALIKE_BATCH)
+    try:
+        out = scratch.table(two.select("a", "b", "ga", "gb").mapInArrow(_alike(least), "a long, b long"), f"{name}-alike")
+    finally:
+        conf.set(rows, before)
+    scratch.drop(f"{name}-sets")
+    return out
+
+
+def wide_links(classes: DataFrame, text: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """classes (doc, rep, bits), texts (key, text) -> links (a, b) of near-duplicates. Of what they connect the
+    smallest doc stays; no two that stay are a pair of near-duplicates among the candidates.
+
+    The first round compares rows with leaders of their bands, so a group of near copies costs
+    its size; the second one compares all pairs of what it leaves.
+    """
+
+    def pairs(some, bands, leaders, name):
+        spread = some.select("rep", "bits").mapInArrow(_bands(bands, BAND_BITS), "key long, bits binary, rep long")
+        found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_pairs(limit, n_pivots, leaders), "a long, b long")
+        return scratch.table(found.distinct(), name)
+
+    first = verified(pairs(classes, LEADER_BANDS, LEADERS, "led"), text, scratch, "led", size)
+    comp = components(first, scratch, "led")
+    of = classes.join(comp, classes["rep"] == comp["id"], "left").select(F.coalesce("component", "rep").alias("component"), "doc", "rep", "bits")
+    left = scratch.table(of.groupBy("component").agg(F.min(F.struct("doc", "rep", "bits")).alias("p")).select("p.rep", "p.bits"), "left")
+    return first.unionByName(verified(pairs(left, BANDS, 0, "all"), text, scratch, "all", size))
+
+
 def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
     """docs with all its columns (but those named with two underscores): of each group of near-duplicates the smallest doc_id stays, once.
 
-    Texts with the same words are one class. Null texts and texts without words are left as they
+    Near-duplicates have SIMILARITY or more; groups are chains of them. Texts with the same words
+    are one class. Null texts and texts without words are left as they
     are; rows without doc_id stay if nothing with an id is like them.
     """
     docs = plain(docs)
@@ -342,8 +417,7 @@ def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size:
     prints = scratch.table(text.mapInArrow(_wide_prints(size), "doc_id long, key long, same long, bits binary"), "prints")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "key"))
     classes = scratch.table(prints.groupBy("same", "bits").agg(first.alias("p")).select("same", "bits", F.col("p.doc").alias("doc"), F.col("p.key").alias("rep")), "classes")
-    spread = classes.select("rep", "bits").mapInArrow(_bands(BANDS, BAND_BITS), "key long, bits binary, rep long")
-    found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_links(limit, n_pivots), "a long, b long")
+    found = wide_links(classes, text, scratch, limit, size, n_pivots)
     comp = components(found, scratch, "wide")
     of = classes.join(comp, classes["rep"] == comp["id"], "left").select("same", "bits", "doc", "rep", F.coalesce("component", "rep").alias("component"))
     keep = of.groupBy("component").agg(F.min(F.struct("doc", "rep")).alias("p")).select(F.col("p.rep").alias("__key"))
