@@ -370,6 +370,21 @@ def test_passages_resist_shifts():
         assert len({x for k in shared for x in range(one[k][0], sum(one[k]))}) >= 40 - 4 * d
 
 
+def _shared_part(spark, part):
+    """Lines removed from the second of two texts that share these lines alone."""
+    rows = [(1, "\n".join(["before one", *part, "after one"])), (2, "\n".join(["before two", *part, "after two"]))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.op4(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == 0
+    return got[2]
+
+
+def test_a_line_alone_is_a_passage(spark):
+    line = " ".join(f"u{k}" for k in range(60))
+    assert _shared_part(spark, [line]) == 1
+    df = spark.createDataFrame([(1, line), (2, line), (3, "short line")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.op4(spark, df).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 # 5 packing
 
 

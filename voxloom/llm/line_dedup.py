@@ -3,7 +3,8 @@
 On each level a rolling hash over the hashes of neighbouring lines chooses the boundaries (one
 in DIVISORS[level] on average), so lines put in or taken out before a passage don't shift those
 within it. A chunk runs over two neighbouring segments; on the finest level every line is a
-segment, so any two lines that follow each other are one. Chunks with equal 128-bit hashes are
+segment, so any two lines that follow each other are one; and each line of enough words is one
+by itself. Chunks with equal 128-bit hashes are
 candidates; their bytes are compared with those of the first one (smallest doc_id, then place),
 which stays, and the lines of the others are removed.
 """
@@ -20,6 +21,8 @@ from .util import Scratch, batches, doc_text, plain
 DIVISORS = (1, 4)
 #: Chunks with fewer words are left alone: blank lines and stock phrases.
 MIN_WORDS = 16
+#: Seed of the hashes of single lines.
+SINGLE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
@@ -29,12 +32,18 @@ def chunks(lines: list[bytes], divisors=DIVISORS, min_words: int = MIN_WORDS) ->
     from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
     n = len(lines)
-    if n < 2:
-        return []
     words = [len(x.split()) for x in lines]
     total = np.concatenate([[0], np.cumsum(words)])
     roll = None
     out = []
+
+    def add(level: int, a: int, b: int) -> None:
+        h = xxh3_128_intdigest(b"\n".join(lines[a:b]), level)
+        out.append(((h >> 64) - (1 << 63), (h & _MASK) - (1 << 63), a, b - a))
+
+    for a in range(n):
+        if words[a] >= min_words:
+            add(SINGLE, a, a + 1)
     for level, d in enumerate(divisors):
         if d == 1:
             cut = np.arange(n)
@@ -47,8 +56,7 @@ def chunks(lines: list[bytes], divisors=DIVISORS, min_words: int = MIN_WORDS) ->
         for k in range(len(edge) - 2):
             a, b = int(edge[k]), int(edge[k + 2])
             if total[b] - total[a] >= min_words:
-                h = xxh3_128_intdigest(b"\n".join(lines[a:b]), level)
-                out.append(((h >> 64) - (1 << 63), (h & _MASK) - (1 << 63), a, b - a))
+                add(level, a, b)
     return out
 
 
