@@ -385,6 +385,13 @@ def test_a_line_alone_is_a_passage(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.op4(spark, df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_short_lines_are_a_passage(spark):
+    rng = np.random.Generator(np.random.PCG64(23))
+    for sizes in ([7] * 8, [1] * 56, [3, 20, 2, 1, 30, 4], [16, 0, 5, 0, 40]):
+        part = [" ".join(f"v{k}" for k in rng.integers(0, 10**9, n)) for n in sizes]
+        assert _shared_part(spark, part) == len(part)
+
+
 # 5 packing
 
 

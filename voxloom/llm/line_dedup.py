@@ -3,8 +3,8 @@
 On each level a rolling hash over the hashes of neighbouring lines chooses the boundaries (one
 in DIVISORS[level] on average), so lines put in or taken out before a passage don't shift those
 within it. A chunk runs over two neighbouring segments; on the finest level every line is a
-segment, so any two lines that follow each other are one; and each line of enough words is one
-by itself. Chunks with equal 128-bit hashes are
+segment, so any two lines that follow each other are one. The shortest runs of enough words from
+each line on and up to each line are chunks too, so lines of any length are covered; they neither start nor end blank. Chunks with equal 128-bit hashes are
 candidates; their bytes are compared with those of the first one (smallest doc_id, then place),
 which stays, and the lines of the others are removed.
 """
@@ -21,8 +21,8 @@ from .util import Scratch, batches, doc_text, plain
 DIVISORS = (1, 4)
 #: Chunks with fewer words are left alone: blank lines and stock phrases.
 MIN_WORDS = 16
-#: Seed of the hashes of single lines.
-SINGLE = 1 << 16
+#: Seed of the hashes of runs.
+RUN = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
@@ -41,9 +41,11 @@ def chunks(lines: list[bytes], divisors=DIVISORS, min_words: int = MIN_WORDS) ->
         h = xxh3_128_intdigest(b"\n".join(lines[a:b]), level)
         out.append(((h >> 64) - (1 << 63), (h & _MASK) - (1 << 63), a, b - a))
 
-    for a in range(n):
-        if words[a] >= min_words:
-            add(SINGLE, a, a + 1)
+    to = np.searchsorted(total, total[:-1] + min_words)  # from each line on, the fewest lines of enough words
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1  # and up to each line
+    runs = {(k, int(to[k])) for k in range(n) if words[k] and to[k] <= n} | {(int(back[k]), k + 1) for k in range(n) if words[k] and back[k] >= 0}
+    for a, b in sorted(runs):
+        add(RUN, a, b)
     for level, d in enumerate(divisors):
         if d == 1:
             cut = np.arange(n)
