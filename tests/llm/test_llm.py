@@ -512,6 +512,20 @@ def test_outliers_by_robust_distance(spark):
     assert sum(got[k] for k in range(500) if len(rows[k][1].split()) >= 20) >= 0.99 * sum(len(r[1].split()) >= 20 for r in rows[:500])
 
 
+def _prose(n, symbols=0.0, seed=24):
+    rng = np.random.Generator(np.random.PCG64([seed, n]))
+    for _ in range(n):
+        w = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(int(rng.lognormal(5, 0.3)) + 20)]
+        yield " ".join("".join("#" if rng.random() < symbols else c for c in x) for x in w)
+
+
+def test_small_groups_are_judged_by_their_pool(spark):
+    rows = [(k, t, "en" if k < 250 else f"l{k % 5}", f"s{k % 10}", 0) for k, t in enumerate(_prose(300))]
+    rows += [(1000 + k, t, "en" if k < 5 else "l1", f"s{k}", 0) for k, t in enumerate(_prose(10, 0.7))]
+    got = {r.doc_id: r.kept for r in quality_rules.op8(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[1000 + k] for k in range(10)) and sum(got[k] for k in range(300)) >= 297
+
+
 # 9 LM scoring
 
 

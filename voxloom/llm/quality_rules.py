@@ -132,17 +132,39 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(_factor(_moments(inside, _GROUP), FACTOR_W), "final")
 
 
+def _pools(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per (lang, source) the key of the estimate that judges it (jlang, jsource), and the keys that its rows go into.
+
+    Groups under LEAST rows are judged by their language, languages under LEAST rows by all rows;
+    keys of values start with "=", so a pool's "*" is none of them.
+    """
+    sizes = scratch.table(rows.groupBy(*_GROUP).agg(F.count("*").alias("n")), "groups")
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("all"), F.min("n").alias("low"))
+    few = langs.agg((F.min("all") < LEAST).alias("few"))
+    key = lambda x, y: F.struct(x.alias("jlang"), y.alias("jsource"))
+    lang, source, pool = F.concat(F.lit("="), "lang"), F.concat(F.lit("="), "source"), F.lit("*")
+    own, language, whole = F.col("n") >= LEAST, F.col("all") >= LEAST, key(pool, pool)
+    to = F.when(own, key(lang, source)).when(language, key(lang, pool)).otherwise(whole)
+    into = F.array_compact(F.array(F.when(own, key(lang, source)), F.when(language & (F.col("low") < LEAST), key(lang, pool)), F.when(F.col("few"), whole)))
+    return scratch.table(sizes.join(langs, "lang").crossJoin(few).select(*_GROUP, to.alias("to"), into.alias("into")).select(*_GROUP, "to.jlang", "to.jsource", "into"), "pools")
+
+
 def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per document; lang and source null are groups of their own.
 
     Base failures are rejected and take no part in the estimates; groups with under LEAST
-    other rows reject by the base alone. Repeated rows count as often as they come; an empty
+    other rows are judged by their language's estimate or that of all rows, and by the base
+    alone if all rows are under LEAST. Repeated rows count as often as they come; an empty
     table gives no rows.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     base = scratch.table(statistics(docs).withColumn("base_failed", failed).select("*", *[x.alias(n) for x, n in zip(_features(), _X)]), "base")
-    stats = estimates(base.filter("not base_failed").select(*_GROUP, *_X), scratch)
-    near = _with_distance(base, stats.select(*_GROUP, *[f"m{k}" for k in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]), _GROUP, "left")
+    fine = base.filter("not base_failed").select(*_GROUP, *_X)
+    pools = _pools(fine, scratch)
+    dealt = fine.join(pools, _GROUP).select(F.explode("into").alias("k"), *_X).select(F.col("k.jlang").alias("lang"), F.col("k.jsource").alias("source"), *_X)
+    stats = estimates(dealt, scratch).withColumnRenamed("lang", "jlang").withColumnRenamed("source", "jsource")
+    keyed = base.join(pools.drop("into"), _GROUP, "left")
+    near = _with_distance(keyed, stats.select("jlang", "jsource", *[f"m{k}" for k in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]), ["jlang", "jsource"], "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return near.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
 
