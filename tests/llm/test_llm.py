@@ -526,6 +526,12 @@ def test_small_groups_are_judged_by_their_pool(spark):
     assert not any(got[1000 + k] for k in range(10)) and sum(got[k] for k in range(300)) >= 297
 
 
+def test_moderate_symbol_spam_is_an_outlier(spark):
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(_prose(300))] + [(1000 + k, t, "en", "s", 0) for k, t in enumerate(_prose(10, 0.23))]
+    got = {r.doc_id: r.kept for r in quality_rules.op8(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[1000 + k] for k in range(10)) and sum(got[k] for k in range(300)) >= 297
+
+
 # 9 LM scoring
 
 
