@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF, same
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from voxloom.llm import chat_format, components, embedding_dedup, line_dedup, lm_scoring, mixing, packing, quality_rules, queries, simhash_dedup, token_output, tokens, toxicity
 from voxloom.llm.util import Scratch
@@ -62,23 +63,43 @@ def texts(df):
 
 
 def ids_of(rows):
-    e = tokens.Encoder(tokens.vocabulary_path())
-    return [e.tok.encode(t, add_special_tokens=False).ids + [2] for _, t in rows]
+    tok = Tokenizer.from_file(tokens.vocabulary_path())
+    return [tok.encode(t, add_special_tokens=False).ids + [2] for _, t in rows]
 
 
 # 1 token output
 
 
+def check_encoding(e, texts):
+    starts, ids = e.encode(texts, 2)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == ids_of([(0, t) for t in texts])
+
+
 def test_piecewise_encoding_is_whole_encoding():
-    e = tokens.Encoder(tokens.vocabulary_path(), memo=50)
-    odd = [t or "" for _, t, *_ in ROWS] + [" a", "a ", "a  b", "'s 'll don't it's,", "x\n\ny \n z", "½ a² ﷺ", "Ġa ĠĠ b", "é a.b,c! 12 3a"]
+    e = tokens.Encoder(tokens.vocabulary_path(), memo_bytes=5000)
+    odd = [t or "" for _, t, *_ in ROWS] + [" a", "a ", "a  b", "'s 'll don't it's,", "x\n\ny \n z", "½ a² ﷺ", "Ġa ĠĠ b", "é a.b,c! 12 3a", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|> y <|endoftext", " <|endoftext|>"]
     for _ in range(2):
-        starts, ids = e.encode(odd, 2)
-        want = [x.ids + [2] for x in e.tok.encode_batch(odd, add_special_tokens=False)]
-        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+        check_encoding(e, odd)
     assert len(e.encode([])[1]) == 0
 
 
+def test_random_texts_encode_as_the_library_does():
+    rng = np.random.Generator(np.random.PCG64(30))
+    kinds = [list("abcxyzABC'019 .,!?-\n\t "), [chr(c) for c in range(0x20, 0x250)], [chr(c) for c in (*range(0x2000, 0x2030), *range(0x4E00, 0x4E40), *range(0x1F600, 0x1F640), 0x85, 0xA0, 0x0B, 0x1C, 0x300, 0x0D)] + list(" a")]
+    rows = ["".join(rng.choice(kinds[k % 3], rng.integers(0, 40))) for k in range(10_000)]
+    e = tokens.Encoder(tokens.vocabulary_path())
+    for a in range(0, len(rows), 2500):
+        check_encoding(e, rows[a : a + 2500])
+
+
+def test_very_long_texts_are_encoded_within_the_memo():
+    rng = np.random.Generator(np.random.PCG64(31))
+    blob = "".join(rng.choice(list("abcdefABCDEF0123+/"), 1_200_000))
+    e = tokens.Encoder(tokens.vocabulary_path(), memo_bytes=100_000)
+    check_encoding(e, [blob, f"some words {blob[:300_000]} and more", LONG * 5])
+    assert not e.memo
+
+
 def test_shard_random_access():
     rng = np.random.Generator(np.random.PCG64(3))
     docs = [rng.integers(0, 1 << int(b), n, dtype=np.uint32) for b, n in ((8, 700), (16, 0), (17, 900), (31, 5), (1, 1))]

@@ -73,7 +73,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-_BINS = "bin string, fill long, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
+_BINS = "bin string, fill long, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 
 
 def _pack(level: int, capacity: int):
@@ -95,7 +95,12 @@ def _pack(level: int, capacity: int):
             edge = np.append(np.concatenate([[0], np.cumsum(lens)])[first], lens.sum())
             sums = np.add.reduceat(fill[order], first)
             names = [f"{level}-{part}-{k}-{j}" for j in range(len(first))]
-            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), members.flatten())
+            flat = members.flatten()
+            fields = [flat.field(c) for c in _PIECES.names]
+            end = np.cumsum(fields[3].to_numpy())
+            start = end - fields[3].to_numpy()
+            offset = pa.array(start - np.repeat(start[edge[:-1]], np.diff(edge)))
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([*fields, offset], [*_PIECES.names, "offset"]))
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums, pa.int64()), lists], ["bin", "fill", "members"])
 
         for b in it:
@@ -115,7 +120,7 @@ def _pack(level: int, capacity: int):
 def pack(items: DataFrame, scratch: Scratch, capacity: int = LENGTH, fan_in: int = 8) -> DataFrame:
     """items: doc_id, piece, start, length (1 to capacity), ids_crc32 -> the same with sequence_id and offset."""
     spark = items.sparkSession
-    member = F.struct(*[F.col(c) for c in _PIECES.names])
+    member = F.struct(*[F.col(c) for c in _PIECES.names], F.lit(0).cast("long").alias("offset"))
     single = items.select(F.lit("").alias("bin"), F.col("length").alias("fill"), F.array(member).alias("members"))
     keep = int(capacity * (1 - SLACK))
     level, done = 0, []
@@ -137,14 +142,13 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = LENGTH, fan_in: int
     final = done[0]
     for d in done[1:]:
         final = final.unionByName(d)
-    numbered = final.select(F.xxhash64("bin").alias("h"), "bin", "members").withColumn("sequence_id", F.monotonically_increasing_id())
-    each = numbered.select("sequence_id", F.posexplode("members").alias("k", "m"), "members")
-    before = F.aggregate(F.slice("members", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, m: a + m["length"])
-    return each.select("m.*", "sequence_id", before.alias("offset"))
+    return final.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode("members").alias("m")).select(*[f"m.{c}" for c in _PIECES.names], "sequence_id", "m.offset")
 
 
 def op5(spark, docs: DataFrame) -> DataFrame:
-    """Null texts are empty documents of one end id; repeated rows are packed as often as they come; an empty table gives no rows."""
+    """One row per piece. Null texts are empty documents of one end id; rows without doc_id are packed
+    like others; very long texts are cut into as many pieces as they need; repeated rows are packed as
+    often as they come; an empty table gives no rows."""
     scratch = Scratch(spark, "op5")
     cut = scratch.table(pieces(docs), "pieces")
     return pack(cut, scratch)

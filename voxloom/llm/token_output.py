@@ -178,4 +178,7 @@ def read_back(shards: DataFrame) -> DataFrame:
 
 
 def op1(spark, docs: DataFrame) -> DataFrame:
+    """One row per document, read back from the shards. Null texts are empty documents of the end id
+    alone; rows without doc_id are left out; a very long text is a shard of its own; repeated rows are
+    written as often as they come, texts of one doc_id in the order of a hash; an empty table gives no rows."""
     return read_back(write(docs, Scratch(spark, "op1")))

@@ -4,11 +4,13 @@ The vocabulary's splitting pattern always cuts before a space that a non-space c
 follows, so a text may be cut there and each piece encoded by itself. The pieces of a batch
 are dictionary-encoded; each distinct one is looked up once, unknown ones go through the
 tokenizer in one call, and the ids are gathered back in the order of the text. Texts in
-which white space follows a space are encoded whole.
+which white space follows a space, and those that hold the content of an added token, are
+encoded whole; so are all texts if the vocabulary does not split as described.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -28,14 +30,23 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _splits_at_spaces(tok) -> bool:
+    """Whether the vocabulary cuts before each space that a word follows, and changes no text before that."""
+    kind = json.loads(tok.to_str())
+    cut = kind.get("pre_tokenizer") or {}
+    return kind.get("normalizer") is None and kind.get("post_processor") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+
+
 class Encoder:
-    def __init__(self, path: str, memo: int = 700_000):
+    """memo_bytes bounds the words remembered, by their own bytes and those of their ids; all are forgotten beyond it."""
+
+    def __init__(self, path: str, memo_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.memo, self.limit = {}, memo
+        self.memo, self.held, self.limit, self.pieces = {}, 0, memo_bytes, _splits_at_spaces(self.tok)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.space_led = np.zeros(self.tok.get_vocab_size(), bool)
         for piece, i in self.tok.get_vocab().items():
             self.space_led[i] = piece.startswith("Ġ")
@@ -60,12 +71,14 @@ class Encoder:
         for chunk, e in zip(chunks, self.tok.encode_batch_fast([" " + " ".join(c) for c in chunks], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             at = (np.append(np.flatnonzero(self.space_led[ids]), len(ids)) * 4).tolist()
-            if len(at) != len(chunk) + 1:
-                raise AssertionError("a piece has not exactly one space-led token")
             raw = ids.tobytes()
-            memo.update(zip(chunk, [raw[a:b] for a, b in zip(at, at[1:])]))
+            if len(at) == len(chunk) + 1:
+                memo.update(zip(chunk, [raw[a:b] for a, b in zip(at, at[1:])]))
+            else:  # a piece without exactly one space-led token
+                memo.update(zip(chunk, self._whole([" " + w for w in chunk])))
         for w in signed:
             memo[w] = memo[w[:-1]] + signs[w[-1]]
+        self.held += sum(100 + len(w) + len(memo[w]) for w in words)
 
     def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Texts (no nulls) -> (starts, ids): text k has ids[starts[k]:starts[k + 1]], end included."""
@@ -74,9 +87,11 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(1, np.int64), np.zeros(0, "<u4")
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        odd = pc.match_substring_regex(texts, _ODD)
+        if self.held > self.limit:
+            self.memo, self.held = {}, 0
+        odd = pc.match_substring_regex(texts, _ODD) if self.pieces else pa.array(np.ones(n, bool))
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         edge = lists.offsets.to_numpy().astype(np.int64)
         first = lists.values.take(pa.array(edge[:-1]))
@@ -92,6 +107,8 @@ class Encoder:
         self._learn([w for w in names if w is not None and w not in memo])
         memo[None] = b""
         raws = [*map(memo.__getitem__, names), *heads]
+        if self.held > self.limit:  # very long words, such as megabytes without a space
+            self.memo, self.held = {}, 0
         lens = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
         codes[edge[:-1]] = len(distinct) + np.arange(n)
         at = np.concatenate([[0], np.cumsum(lens)])
