@@ -220,20 +220,20 @@ def repeated(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> D
     place = F.struct("doc", "key", "at")
     many = occ.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q").select("h1", "h2", F.col("p.doc").alias("d1"), F.col("p.key").alias("k1"), F.col("p.at").alias("a1"))
     many = scratch.table(many, "repeated")
-    later = occ.join(many, ["h1", "h2"]).filter("doc <> d1 or key <> k1 or at <> a1").select("h1", "h2", "doc", "key", "at", "n").distinct()
+    later = occ.join(many.hint("merge"), ["h1", "h2"]).filter("doc <> d1 or key <> k1 or at <> a1").select("h1", "h2", "doc", "key", "at", "n").distinct()
     chosen = later.groupBy("doc", "key").agg(F.collect_list(F.struct("h1", "h2", "at", "n")).alias("marks")).mapInArrow(_selected, "h1 long, h2 long, doc long, key long, at long, n long")
     chosen = scratch.table(chosen, "chosen")
     wanted = chosen.groupBy("h1", "h2").agg(F.min("n").alias("n"))
-    firsts = many.join(wanted, ["h1", "h2"]).select("h1", "h2", F.col("d1").alias("doc"), F.col("k1").alias("key"), F.col("a1").alias("at"), "n", F.lit(True).alias("first"))
+    firsts = many.join(wanted.hint("merge"), ["h1", "h2"]).select("h1", "h2", F.col("d1").alias("doc"), F.col("k1").alias("key"), F.col("a1").alias("at"), "n", F.lit(True).alias("first"))
     marks = firsts.unionByName(chosen.withColumn("first", F.lit(False))).groupBy("doc", "key").agg(F.collect_list(F.struct("h1", "h2", "at", "n", "first")).alias("marks"))
     marks = scratch.table(marks, "marks")
     scratch.drop("chunks", "repeated", "chosen")
-    once = text.join(marks, ["doc", "key"]).select("doc", "key", "text", "marks")
+    once = text.join(marks.hint("merge"), ["doc", "key"]).select("doc", "key", "text", "marks")  # marks grow with the corpus: one plan at every size
     held = scratch.table(once.mapInArrow(_texts(min_words), "h1 long, h2 long, doc long, key long, at long, n long, first boolean, left binary, bytes binary, right binary"), "bytes")
     scratch.drop("marks")
     one = held.filter("first").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("bytes").alias("original"), F.col("left").alias("l1"), F.col("right").alias("r1"))
     one = scratch.table(one, "originals")  # a table of its own, so a frequent chunk's side of the join can be split
-    same = held.filter("not first").join(one, ["h1", "h2"]).filter("bytes = original").select("doc", "key", "at", "n", "left", "l1", "right", "r1")
+    same = held.filter("not first").join(one.hint("merge"), ["h1", "h2"]).filter("bytes = original").select("doc", "key", "at", "n", "left", "l1", "right", "r1")
     grown = same.mapInArrow(_extend, "doc long, key long, at long, n long").distinct()
     out = scratch.table(grown.groupBy("doc", "key").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "lines")
     scratch.drop("bytes", "originals")
@@ -246,7 +246,7 @@ def remove(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Dat
     marks = repeated(docs, scratch, min_words).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("marks").alias("__marks"))
     doc, key = name()
     keyed = docs.withColumns({"__doc": doc, "__key": key})
-    joined = keyed.join(marks, ["__doc", "__key"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__marks")
+    joined = keyed.join(marks.hint("merge"), ["__doc", "__key"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__marks")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "__lines long", "__removed long"])
     return joined.mapInArrow(_rewrite(docs.columns.index("text"), len(docs.columns)), schema)
 
