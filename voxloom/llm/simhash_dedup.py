@@ -9,6 +9,7 @@ discarded (triangle inequality), and the survivors are verified on all 64 bits.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -233,7 +234,12 @@ WIDE_WORDS = 5
 SIMILARITY = 0.8
 #: Similarity 0.8 is an angle of 0.476, 38.8 of 256 bits on average; the rest is over three deviations of the estimate.
 WIDE_BITS = 58
-BAND_BITS, BANDS = 16, 96
+#: Bits of a band at least; more where there are more rows, so a key's rows don't grow with the corpus.
+BAND_BITS = 16
+#: Rows of a key, if bits were independent.
+BAND_ROWS = 16
+#: Pairs of that similarity that no band has, at most.
+MISSED = 0.001
 #: Bands and leaders of the first round, which leaves little of large groups.
 LEADER_BANDS, LEADERS = 16, 8
 #: Pairs of sets in one Arrow batch: a set may be as long as its document.
@@ -241,6 +247,13 @@ ALIKE_BATCH = 256
 _FAMILIES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def band_shape(rows: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(bits, bands): keys wide enough for so many rows, and bands enough for pairs of that similarity."""
+    width = max(BAND_BITS, math.ceil(math.log2(max(1, rows / BAND_ROWS))))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return width, math.ceil(math.log(MISSED) / math.log1p(-(agree**width)))
+
+
 def wide_bits(text: str, size: int = WIDE_WORDS) -> np.ndarray:
     """256 bits over the distinct shingles: four mixings of each hash, one bit set where most hashes have it."""
     h = np.unique(shingle_hashes(text, size))
@@ -263,7 +276,7 @@ def _wide_prints(size: int):
             words = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
             same = np.array([xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
             bits = np.packbits(np.array([wide_bits(x, size) for x in texts]).reshape(len(texts), WIDE), axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "key", "same", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "key", "same", "bits"])
 
     return run
 
@@ -278,7 +291,7 @@ def _bands(bands: int, width: int):
             raw = b.column(1)
             bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
             for k in range(bands):
-                key = bits[:, chosen[k]].astype(np.int64) @ weights + (k << 48)
+                key = bits[:, chosen[k]].astype(np.int64) @ weights + (k << 50)
                 yield pa.RecordBatch.from_arrays([pa.array(key), raw, b.column(0)], ["key", "bits", "rep"])
 
     return run
@@ -367,13 +380,13 @@ def _alike(least: float):
     return run
 
 
-def verified(pairs: DataFrame, text: DataFrame, scratch: Scratch, name: str, size: int = WIDE_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts in (key, text) have that similarity; a text may come more than once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    some = text.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = scratch.table(some.mapInArrow(_sets(size), "rep long, grams binary"), f"{name}-sets")
-    one = pairs.join(sets.withColumnRenamed("rep", "b").withColumnRenamed("grams", "gb"), "b")
-    two = one.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("grams", "ga"), "a")
+def verified(pairs: DataFrame, classes: DataFrame, text: DataFrame, scratch: Scratch, name: str, size: int = WIDE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of classes (rep, doc, key) whose texts in (doc, key, text) have that similarity; a text may come more than once."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    some = text.join(classes.select("rep", "doc", "key").join(wanted, "rep", "left_semi").hint("merge"), ["doc", "key"]).select("rep", "text")
+    sets = scratch.table(some.mapInArrow(_sets(size), "rep long, grams binary").dropDuplicates(["rep"]), f"{name}-sets")
+    one = pairs.join(sets.withColumnRenamed("rep", "b").withColumnRenamed("grams", "gb").hint("merge"), "b")
+    two = one.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("grams", "ga").hint("merge"), "a")
     conf, rows = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(rows)
     conf.set(rows, ALIKE_BATCH)
@@ -386,44 +399,50 @@ def verified(pairs: DataFrame, text: DataFrame, scratch: Scratch, name: str, siz
 
 
 def wide_links(classes: DataFrame, text: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """classes (doc, rep, bits), texts (key, text) -> links (a, b) of near-duplicates. Of what they connect the
-    smallest doc stays; no two that stay are a pair of near-duplicates among the candidates.
+    """classes (rep, doc, key, bits), texts (doc, key, text) -> links (a, b) of near-duplicates. Of what they
+    connect the smallest doc stays; no two that stay are a pair of near-duplicates among the candidates.
 
     The first round compares rows with leaders of their bands, so a group of near copies costs
     its size; the second one compares all pairs of what it leaves.
     """
+    width, bands = band_shape(classes.count())
 
     def pairs(some, bands, leaders, name):
-        spread = some.select("rep", "bits").mapInArrow(_bands(bands, BAND_BITS), "key long, bits binary, rep long")
+        spread = some.select("rep", "bits").mapInArrow(_bands(bands, width), "key long, bits binary, rep long")
         found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_pairs(limit, n_pivots, leaders), "a long, b long")
         return scratch.table(found.distinct(), name)
 
-    first = verified(pairs(classes, LEADER_BANDS, LEADERS, "led"), text, scratch, "led", size)
+    first = verified(pairs(classes, LEADER_BANDS, LEADERS, "led"), classes, text, scratch, "led", size)
     comp = components(first, scratch, "led")
-    of = classes.join(comp, classes["rep"] == comp["id"], "left").select(F.coalesce("component", "rep").alias("component"), "doc", "rep", "bits")
-    left = scratch.table(of.groupBy("component").agg(F.min(F.struct("doc", "rep", "bits")).alias("p")).select("p.rep", "p.bits"), "left")
-    return first.unionByName(verified(pairs(left, BANDS, 0, "all"), text, scratch, "all", size))
+    of = classes.join(comp, classes["rep"] == comp["id"], "left").select(F.coalesce("component", "rep").alias("component"), "doc", "key", "rep", "bits")
+    left = scratch.table(of.groupBy("component").agg(F.min(F.struct("doc", "key", "rep", "bits")).alias("p")).select("p.rep", "p.bits"), "left")
+    return first.unionByName(verified(pairs(left, bands, 0, "all"), classes, text, scratch, "all", size))
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
     """docs with all its columns (but those named with two underscores): of each group of near-duplicates the smallest doc_id stays, once.
 
     Near-duplicates have SIMILARITY or more; groups are chains of them. Texts with the same words
-    are one class. Null texts and texts without words are left as they
-    are; rows without doc_id stay if nothing with an id is like them.
+    are one class. Null texts and texts without words are left as they are; rows without doc_id stay
+    if nothing with an id is like them; rows that agree in doc_id and text stay once; very long texts
+    are handled whole, their shingles a batch of hashes at a time; an empty table gives no rows.
     """
     docs = plain(docs)
-    text = doc_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    prints = scratch.table(text.mapInArrow(_wide_prints(size), "doc_id long, key long, same long, bits binary"), "prints")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "key"))
-    classes = scratch.table(prints.groupBy("same", "bits").agg(first.alias("p")).select("same", "bits", F.col("p.doc").alias("doc"), F.col("p.key").alias("rep")), "classes")
-    found = wide_links(classes, text, scratch, limit, size, n_pivots)
-    comp = components(found, scratch, "wide")
-    of = classes.join(comp, classes["rep"] == comp["id"], "left").select("same", "bits", "doc", "rep", F.coalesce("component", "rep").alias("component"))
-    keep = of.groupBy("component").agg(F.min(F.struct("doc", "rep")).alias("p")).select(F.col("p.rep").alias("__key"))
-    gone = prints.select(F.col("key").alias("__key")).distinct().join(keep, "__key", "left_anti")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    left = keyed.join(gone, "__key", "left_anti")
-    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    once = left.filter(~bare).dropDuplicates(["__key"]).unionByName(keyed.filter(bare))
+    worded = "[^\\x20\\x09-\\x0D]"
+    doc, key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
+    text = doc_text(docs).select(doc.alias("doc"), key.alias("key"), "text").filter(F.col("text").rlike(worded))
+    prints = scratch.table(text.mapInArrow(_wide_prints(size), "doc long, key long, same long, bits binary"), "prints")
+    first = F.min(F.struct("doc", "key"))
+    classes = prints.groupBy("same", "bits").agg(first.alias("p")).select("same", "bits", "p.doc", "p.key")
+    classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers of their own, which no two classes share
+    comp = components(wide_links(classes, text, scratch, limit, size, n_pivots), scratch, "wide")
+    of = classes.join(comp, classes["rep"] == comp["id"], "left").select("doc", "key", F.coalesce("component", "rep").alias("component"))
+    keep = of.groupBy("component").agg(first.alias("p")).select("p.doc", "p.key")
+    gone = prints.select("doc", "key").distinct().join(keep, ["doc", "key"], "left_anti").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"))
+    gone = scratch.table(gone, "gone")
+    scratch.drop("prints", "classes")
+    keyed = docs.withColumns({"__doc": doc, "__key": key})
+    left = keyed.join(gone.hint("merge"), ["__doc", "__key"], "left_anti")
+    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(worded)
+    once = left.filter(~bare).dropDuplicates(["__doc", "__key"]).unionByName(keyed.filter(bare))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
