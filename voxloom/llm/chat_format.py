@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are ordered by (turn, role, text); adjacent turns of one role share a message, and a
-mark between them keeps each turn apart. Control strings all start with "<"; inside roles and
+A conversation's turns are collected as structs and sorted by (turn, role, text); array
+aggregation merges adjacent turns of one role into a message, in which a mark keeps each turn
+apart, and the messages are concatenated. Control strings all start with "<"; inside roles and
 texts "\\", "<" and ">" are escaped, so nothing a turn says can be taken for one. The loss mask
 is a list of spans (start, length in code points), one for each assistant turn.
 
@@ -12,7 +13,6 @@ so one with very many turns is spread over tasks until its parts meet.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, NEXT = "<msg role=", "</msg>\n", "<+>"
@@ -34,50 +34,78 @@ def unescape(x: Column) -> Column:
     return x
 
 
-def _joint(before: Column, role: Column, first: Column) -> Column:
-    start = F.concat(F.lit(OPEN), role, F.lit(">"))
-    return F.when(before.isNull(), first).when(before == role, F.lit(NEXT)).otherwise(F.concat(F.lit(CLOSE), start))
+def _append(array: Column, x: Column) -> Column:
+    return F.concat(array, F.array(x))
+
+
+def merged(turns: Column) -> Column:
+    """Sorted turns (.., role, text) -> messages (role, texts): adjacent turns of one role are one message."""
+    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+
+    def step(acc, x):
+        last, own = F.get(acc, F.size(acc) - 1), F.array(x["text"])
+        longer = F.struct(x["role"].alias("role"), F.concat(last["texts"], own).alias("texts"))
+        return F.when(F.coalesce(last["role"] == x["role"], F.lit(False)), _append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(_append(acc, F.struct(x["role"].alias("role"), own.alias("texts"))))
+
+    return F.aggregate(turns, none, step)
+
+
+def _start(role: Column) -> Column:
+    return F.concat(F.lit(OPEN), role, F.lit(">"))
+
+
+def _spans(pieces: Column) -> Column:
+    """(gap, len, loss) of all turns in order -> start and length of those with loss."""
+    zero = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans"))
+
+    def step(acc, x):
+        at = acc["to"] + x["gap"]
+        spans = F.when(x["loss"], _append(acc["spans"], F.struct(at.alias("start"), x["len"].alias("len")))).otherwise(acc["spans"])
+        return F.struct((at + x["len"]).alias("to"), spans.alias("spans"))
+
+    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) -> (conv_id, formatted, loss_spans array<struct<start, len>>).
 
     Null texts and roles are empty; null turn numbers come first; ties are ordered by role and
-    text; repeated rows are turns of their own; an empty table gives no rows.
+    text; repeated rows are turns of their own; very long texts are copied by reference until they
+    are joined; rows without conv_id are one conversation; an empty table gives no rows.
     """
-    said = turns.select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        escape(F.coalesce("role", F.lit(""))).alias("role"),
-        F.coalesce("role", F.lit("")).alias("said_by"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("stretch", F.floor(F.col("turn") / STRETCH))
-    order = W.partitionBy("conv_id", "stretch").orderBy("turn", "said_by", "text")
-    said = said.select("*", F.lag("role").over(order).alias("before"), F.row_number().over(order).alias("rn"), escape(F.col("text")).alias("seg"))
-    said = said.withColumn("piece", F.concat(_joint(F.col("before"), F.col("role"), F.lit("")), "seg"))
-    end = F.sum(F.char_length("piece")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    said = said.withColumn("start", end - F.char_length("seg"))
-    part = F.struct("rn", "piece", "role", "start", F.char_length("seg").cast("long").alias("len"), (F.col("said_by") == LOSS_ROLE).alias("loss"))
-    parts = said.groupBy("conv_id", "stretch").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    shift = lambda base: lambda x: F.struct((x["start"] + base).alias("start"), x["len"].alias("len"))
+    said = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = said.groupBy("conv_id", F.floor(F.col("turn") / STRETCH).alias("stretch")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    shown = lambda m: F.struct(escape(m["role"]).alias("role"), (m["role"] == LOSS_ROLE).alias("loss"), F.transform(m["texts"], escape).alias("texts"))
+    parts = parts.select("conv_id", "stretch", F.transform(merged(F.col("turns")), shown).alias("m"))
+    between = lambda m, k: F.when(k > 0, F.concat(F.lit(CLOSE), _start(m["role"]))).otherwise("")
+
+    def pieces(m, k):
+        gap = lambda j: F.when(j > 0, F.lit(len(NEXT))).otherwise(F.char_length(between(m, k))).cast("long")
+        return F.transform(m["texts"], lambda t, j: F.struct(gap(j).alias("gap"), F.char_length(t).cast("long").alias("len"), m["loss"].alias("loss")))
+
     stretches = parts.select(
         "conv_id",
         "stretch",
-        F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("s"),
-        F.element_at("p", 1)["role"].alias("first"),
-        F.element_at("p", -1)["role"].alias("last"),
-        F.transform(F.filter("p", lambda x: x["loss"]), shift(F.lit(0))).alias("spans"),
+        F.array_join(F.transform("m", lambda m, k: F.concat(between(m, k), F.array_join(m["texts"], NEXT))), "").alias("s"),
+        F.element_at("m", 1)["role"].alias("first"),
+        F.element_at("m", -1)["role"].alias("last"),
+        _spans(F.flatten(F.transform("m", pieces))).alias("spans"),
     )
-    order = W.partitionBy("conv_id").orderBy("stretch")
-    stretches = stretches.withColumn("before", F.lag("last").over(order))
-    stretches = stretches.withColumn("joint", _joint(F.col("before"), F.col("first"), F.concat(F.lit(OPEN), "first", F.lit(">"))))
-    end = F.sum(F.char_length("joint") + F.char_length("s")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    stretches = stretches.withColumn("base", end - F.char_length("s")).withColumn("rn", F.row_number().over(order))
-    whole = stretches.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rn", "joint", "s", "base", "spans"))).alias("p"))
+    whole = stretches.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "s", "first", "last", "spans"))).alias("p"))
+
+    def joint(x, k):
+        before = F.get(F.col("p"), k - 1)["last"]
+        return F.when(k == 0, _start(x["first"])).when(before == x["first"], F.lit(NEXT)).otherwise(F.concat(F.lit(CLOSE), _start(x["first"])))
+
+    whole = whole.select("conv_id", "p", F.transform("p", joint).alias("joints"))
+    size = lambda x, k: F.char_length(F.get(F.col("joints"), k)) + F.char_length(x["s"])
+    ends = F.aggregate(F.transform("p", size), F.array().cast("array<bigint>"), lambda acc, n: _append(acc, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + n))
+    whole = whole.select("conv_id", "p", "joints", ends.alias("ends"))
+    shift = lambda base: lambda x: F.struct((x["start"] + base).alias("start"), x["len"].alias("len"))
     return whole.select(
         "conv_id",
-        F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["joint"], x["s"])), ""), F.lit(CLOSE)).alias("formatted"),
-        F.flatten(F.transform("p", lambda x: F.transform(x["spans"], shift(x["base"])))).alias("loss_spans"),
+        F.concat(F.array_join(F.transform("p", lambda x, k: F.concat(F.get(F.col("joints"), k), x["s"])), ""), F.lit(CLOSE)).alias("formatted"),
+        F.flatten(F.transform("p", lambda x, k: F.transform(x["spans"], shift(F.get(F.col("ends"), k) - F.char_length(x["s"]))))).alias("loss_spans"),
     )
 
 
@@ -105,6 +133,8 @@ def loss_text(blocks: Column, spans: Column) -> Column:
 
 
 def op7(spark, turns: DataFrame) -> DataFrame:
+    """One row per conversation, read back from the formatted text, and the probe conversation -7;
+    cases as in format_chats. A conversation is one value in the end: one of gigabytes can't be made."""
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
