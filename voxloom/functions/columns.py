@@ -21,6 +21,7 @@ def finite(c: Column) -> Column:
 
 
 def safe_divide(a: Column, b: Column) -> Column:
+    """a over b, which counts as 1e-12 at least."""
     return a / F.greatest(b, F.lit(1e-12))
 
 
@@ -68,16 +69,20 @@ def t_tails(t: np.ndarray, df: int) -> np.ndarray:
     return np.maximum(0.0, 1.0 - inside)
 
 
-def with_t_tail(df: DataFrame, t: str, p: str, degrees: int) -> DataFrame:
-    """Adds the two-sided tail p of column t (null stays null), in Arrow batches: the series has half as many terms as degrees."""
+def with_t_tail(df: DataFrame, t: str, p: str, degrees: str) -> DataFrame:
+    """Adds the two-sided tail p of column t under a column of degrees (null without either, or under one degree), in Arrow
+    batches: the series has half as many terms as degrees."""
     names = [*df.columns, p]
-    at = df.columns.index(t)
+    at, of = df.columns.index(t), df.columns.index(degrees)
 
     def run(it):
         for b in it:
-            v = b.column(at).cast(pa.float64())
-            got = t_tails(v.to_numpy(zero_copy_only=False), degrees)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64(), mask=v.is_null().to_numpy(zero_copy_only=False))], names)
+            v, n = (b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (at, of))
+            got = np.full(len(v), np.nan)
+            for k in np.unique(n[n >= 1]):
+                own = n == k
+                got[own] = t_tails(v[own], int(k))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64(), mask=np.isnan(got))], names)
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"`{p}` double"])
     return df.mapInArrow(run, schema)

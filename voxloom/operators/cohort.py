@@ -7,6 +7,7 @@ one partial aggregation over voxels; tests join a subject's map with the referen
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,9 +28,10 @@ def global_normalize(maps: DataFrame, by: list[str], value: str = "value") -> Da
     """Each map over the mean of its usable voxels, others 0; unchanged where that mean is 0 or there is none.
 
     The means are one small row a map, joined back: no map is gathered."""
-    means = maps.groupBy(*by).agg(F.avg(usable(value)).alias("__mean"))
+    means = maps.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(F.avg(usable(value)).alias("__mean"))
     v = F.when(F.coalesce(F.col("__mean"), F.lit(0.0)) != 0, F.coalesce(usable(value) / F.col("__mean"), F.lit(0.0))).otherwise(F.col(value))
-    return maps.join(means, by).withColumn(value, v).drop("__mean")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])  # a null key is a map of its own
+    return maps.join(means, same).withColumn(value, v).drop("__mean", *[f"__{k}" for k in by])
 
 
 def simple_reference(maps: DataFrame) -> DataFrame:
@@ -77,9 +79,13 @@ def median_cv(reference: DataFrame) -> DataFrame:
     return reference.filter("in_mask").agg(F.percentile(F.col("sd") / F.col("mean"), 0.5).alias("median_cv"))
 
 
-def wrap_group_map(mean: DataFrame, sd: DataFrame, count: DataFrame | None = None, n: int | None = None) -> DataFrame:
-    """A reference from a group's mean, SD and count maps (x, y, z, value)."""
-    out = mean.select(*VOXEL, usable().alias("mean")).filter("mean is not null").join(sd.select(*VOXEL, finite(F.col("value")).alias("sd")), VOXEL, "left")
+def wrap_group_map(mean: DataFrame, sd: DataFrame, count: DataFrame | None = None, n: int | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """A reference from a group's mean, SD, count and mask maps (x, y, z, value): voxels of the mask, or else of a mean that is
+    finite and not zero, where mean and SD are finite."""
+    inside = usable() if mask is None else finite(F.col("value"))
+    out = mean.select(*VOXEL, inside.alias("mean")).filter("mean is not null").join(sd.select(*VOXEL, finite(F.col("value")).alias("sd")), VOXEL).filter("sd is not null")
+    if mask is not None:
+        out = out.join(mask.filter("value <> 0").select(*VOXEL), VOXEL, "left_semi")
     if n is not None:
         return out.withColumn("n", F.lit(n))
     return out.crossJoin(F.broadcast(count.agg(F.max("value").cast("long").alias("n")))) if count is not None else out.withColumn("n", F.lit(None).cast("long"))
@@ -109,6 +115,13 @@ def compare_subject(subject: DataFrame, reference: DataFrame, on: list[str]) ->
     return subject.join(reference, on).withColumn("z", z).withColumn("percentile", 100 * normal_cdf(F.col("z")))
 
 
+def summary_percentile(subject: DataFrame, cohort: DataFrame) -> DataFrame:
+    """subject (value), cohort (value) -> percentile among the finite summaries; null where there is none."""
+    fine = cohort.select(finite(F.col("value")).alias("v")).filter("v is not null")
+    below = fine.crossJoin(F.broadcast(subject.select("value").limit(1))).agg(100 * F.avg(F.when(F.col("v") < F.col("value"), 1.0).otherwise(0.0)))
+    return below.toDF("percentile")
+
+
 def empirical_percentile(subject: DataFrame, cohort: DataFrame, on: list[str]) -> DataFrame:
     """100 times the share of cohort values strictly below; a missing value is not below but counts."""
     pairs = cohort.select(*on, F.col("value").alias("v")).join(subject, on)
@@ -123,15 +136,20 @@ def z_map(subject: DataFrame, reference: DataFrame) -> DataFrame:
     return subject.join(reference.filter("in_mask and sd > 0"), VOXEL).withColumn("score", (F.col("value") - F.col("mean")) / F.col("sd"))
 
 
-def t_test(subject: DataFrame, reference: DataFrame, n: int, by: list[str], normalized: bool = False) -> DataFrame:
-    """Single case against a cohort of n: t with n - 1 degrees of freedom and its two-sided p."""
-    if n <= 1:
+def t_test(subject: DataFrame, reference: DataFrame, n: int | DataFrame, by: list[str], normalized: bool = False) -> DataFrame:
+    """Single case against a cohort of n: t with n - 1 degrees of freedom and its two-sided p.
+
+    n is a number, or a table of one row (n) that is worked out with the rest; a cohort under two is
+    an error, or no p in the second case.
+    """
+    if isinstance(n, int) and n <= 1:
         raise ValueError("a test needs a cohort of two or more")
     own = subject.join(reference.filter("in_mask and sd > 0").select(*VOXEL, "mean", "sd"), VOXEL)
     if normalized:
         own = global_normalize(own, by)
-    t = (F.col("value") - F.col("mean")) / (F.col("sd") * math.sqrt((n + 1) / n))
-    return with_t_tail(own.withColumn("t", t), "t", "p", n - 1)
+    own = own.withColumn("__n", F.lit(n).cast("long")) if isinstance(n, int) else own.crossJoin(F.broadcast(n.select(F.col("n").cast("long").alias("__n"))))
+    t = (F.col("value") - F.col("mean")) / (F.col("sd") * F.sqrt((F.col("__n") + 1) / F.col("__n")))
+    return with_t_tail(own.withColumn("t", t).withColumn("__n", F.col("__n") - 1), "t", "p", "__n").drop("__n")
 
 
 def fdr(tests: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
@@ -166,6 +184,13 @@ def difference(subject: DataFrame, reference: DataFrame) -> DataFrame:
     return subject.join(reference.filter("in_mask"), VOXEL).withColumn("diff", F.col("value") - F.col("mean"))
 
 
+def difference_summary(subject: DataFrame, reference: DataFrame, same_grid: bool = True) -> DataFrame:
+    """(subject_mean, group_mean) over the shared mask, null where that is empty; the subject's alone on another grid."""
+    if not same_grid:
+        return subject.agg(F.avg("value").alias("subject_mean"), F.lit(None).cast("double").alias("group_mean"))
+    return difference(subject, reference).agg(F.avg("value").alias("subject_mean"), F.avg("mean").alias("group_mean"))
+
+
 def calibration(tests: DataFrame, by: list[str]) -> DataFrame:
     """Medians over held-out maps of mean t, SD(t) and observed / chance, and the verdict."""
     per = tests.groupBy(*by).agg(F.avg("t").alias("m"), F.stddev_pop("t").alias("s"), (F.count(F.when(F.col("p") < 0.05, 1)) / (0.05 * F.count("*"))).alias("r"))
@@ -181,6 +206,13 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when((F.col("max_diff") < 1e-4) | (F.col("r") > 0.9999), "MATCH").otherwise("DIFFERENT"))
 
 
+def reference_facts(maps: DataFrame, by: list[str]) -> DataFrame:
+    """(by, has_sd, n, can_ttest) of the references that maps (by, subject, x, y, z, value) make: n counts subjects."""
+    spread = maps.groupBy(*by, *VOXEL).agg(F.stddev_samp(usable()).alias("sd")).groupBy(*by).agg(F.coalesce(F.bool_or(F.col("sd") > 0), F.lit(False)).alias("has_sd"))
+    size = maps.groupBy(*by).agg(F.count_distinct("subject").alias("n"))
+    return spread.join(size, by).withColumn("can_ttest", F.col("has_sd") & (F.col("n") > 1))
+
+
 def mode(meta: DataFrame) -> DataFrame:
     """meta (measure, n, has_sd) -> mode: t, else z, else diff."""
     return meta.withColumn("mode", F.when(F.col("has_sd") & (F.col("n") > 1), "t").when(F.col("has_sd"), "z").otherwise("diff"))
@@ -189,12 +221,31 @@ def mode(meta: DataFrame) -> DataFrame:
 # Charts' data
 
 
-def histogram(values: DataFrame, bins: int, value: str = "value") -> DataFrame:
-    """(bin, lo, n): equal bins from least to greatest, the last one closed; one row gives the range."""
-    ends = values.agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+def histogram(values: DataFrame, bins: int, value: str = "value", zeros: bool = False) -> DataFrame:
+    """(bin, lo, n, excluded): equal bins from least to greatest, the last one closed; one row gives the range.
+
+    Null, NaN and infinite values are no values; zeros are left out and counted as excluded, unless zeros is set.
+    """
+    fine = finite(F.col(value))
+    values = values.select(fine.alias(value)).filter(F.col(value).isNotNull())
+    kept = F.col(value) if zeros else usable(value)
+    ends = values.agg(F.min(kept).alias("lo_"), F.max(kept).alias("hi_"), F.count(F.when(kept.isNull(), 1)).alias("excluded"))
+    values = values.filter(kept.isNotNull())
     width = (F.col("hi_") - F.col("lo_")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo_")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
-    return values.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin"), "lo_", width.alias("w_")).agg(F.count("*").alias("n")).select("bin", (F.col("lo_") + F.col("bin") * F.col("w_")).alias("lo"), "n")
+    return values.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin"), "lo_", width.alias("w_"), "excluded").agg(F.count("*").alias("n")).select("bin", (F.col("lo_") + F.col("bin") * F.col("w_")).alias("lo"), "n", "excluded")
+
+
+def cohort_histogram(subject: DataFrame, cohort: DataFrame, region: int | None = None, bins: int = 25) -> DataFrame:
+    """subject (region, value), cohort (subject, region, value) -> the cohort's histogram (bin, lo, n), the
+    subject's value and its percentile: of one region, or of the mean across regions."""
+    v = finite(F.col("value"))
+    if region is not None:
+        own, rest = subject.filter(F.col("region") == region).select("value"), cohort.filter(F.col("region") == region).select("subject", "value")
+    else:
+        own, rest = subject.agg(F.avg(v).alias("value")), cohort.groupBy("subject").agg(F.avg(v).alias("value"))
+    below = rest.crossJoin(F.broadcast(own.select(F.col("value").alias("own")))).agg(F.max("own").alias("own"), (100 * F.avg(F.when((F.col("value") < F.col("own")) & ~F.isnan("value"), 1.0).otherwise(0.0))).alias("percentile"))
+    return histogram(rest, bins, zeros=True).drop("excluded").crossJoin(F.broadcast(below))
 
 
 def slice_profile(subject: DataFrame, slices: DataFrame, least: int = 20) -> DataFrame:
@@ -210,12 +261,13 @@ def montage(mask: DataFrame, rows: int = 3, cols: int = 8) -> DataFrame:
     return ends.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tile"), "a", "b").select("tile", F.floor(F.col("a") + F.col("tile") * (F.col("b") - F.col("a")) / (n - 1)).cast("int").alias("z"))
 
 
-def display_range(values: DataFrame, symmetric: bool = False) -> DataFrame:
-    v = usable()
+def display_range(values: DataFrame, symmetric: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(by, low, high) of each map's usable values: exact percentiles of one grid's values."""
+    v, maps = usable(), values.groupBy(*(by or []))
     if symmetric:
         top = F.percentile(F.abs(v), 0.99)
-        return values.agg((-top).alias("low"), top.alias("high"))
-    return values.agg(F.percentile(v, 0.02).alias("low"), F.percentile(v, 0.98).alias("high"))
+        return maps.agg((-top).alias("low"), top.alias("high"))
+    return maps.agg(F.percentile(v, 0.02).alias("low"), F.percentile(v, 0.98).alias("high"))
 
 
 def fullest_slice(mask: DataFrame) -> DataFrame:

@@ -19,26 +19,30 @@ def region_timeseries(bold: DataFrame, subject: list[str] | None = None) -> Data
 
 
 def functional_connectivity(region: DataFrame, measure: str = "correlation", subject: list[str] | None = None) -> DataFrame:
-    """(subject, i, j, w) for i < j."""
+    """(subject, i, j, w) for i < j; null for a constant region. One matrix (regions x times) a subject is a task, so no
+    pair of samples is shuffled; times that a region lacks are left out."""
     keys = subject or []
-    if measure == "correlation":
-        a = region.select(*keys, "t", F.col("label").alias("i"), F.col("v").alias("a"))
-        b = region.select(*keys, "t", F.col("label").alias("j"), F.col("v").alias("b"))
-        return a.join(b, [*keys, "t"]).filter("i < j").groupBy(*keys, "i", "j").agg(F.corr("a", "b").alias("w"))
-    if measure != "partial_correlation":
+    if measure not in ("correlation", "partial_correlation"):
         raise ValueError(f"unknown connectivity measure {measure!r}")
     kinds = {f.name: f.dataType.simpleString() for f in region.schema}
 
     def run(t: pa.Table) -> pa.Table:
         label, at, v = (t[c].to_numpy() for c in ("label", "t", "v"))
         names = np.unique(label)
-        x = np.zeros((len(names), at.max() + 1))
-        x[np.searchsorted(names, label), at] = v
-        p = np.linalg.pinv(np.cov(x))
-        d = np.sqrt(np.diag(p))
-        i, j = np.triu_indices(len(names), 1)
+        times = np.unique(at)
+        x = np.full((len(names), len(times)), np.nan)
+        x[np.searchsorted(names, label), np.searchsorted(times, at)] = v
+        x = x[:, ~np.isnan(x).any(0)]  # times that all regions have
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if measure == "correlation":
+                p, sign = np.atleast_2d(np.cov(x)), 1
+            else:
+                p, sign = np.linalg.pinv(np.atleast_2d(np.cov(x))), -1
+            d = np.sqrt(np.diag(p))
+            i, j = np.triu_indices(len(names), 1)
+            w = (sign * p / np.outer(d, d))[i, j]
         own = [pa.array([t[k][0].as_py()] * len(i), t[k].type) for k in keys]
-        return pa.table(own + [pa.array(names[i]), pa.array(names[j]), pa.array((-p / np.outer(d, d))[i, j])], [*keys, "i", "j", "w"])
+        return pa.table(own + [pa.array(names[i], pa.int32()), pa.array(names[j], pa.int32()), pa.array(w, pa.float64(), mask=np.isnan(w))], [*keys, "i", "j", "w"])
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "i int", "j int", "w double"])
     grouped = region if keys else region.withColumn("__all", F.lit(0))
@@ -66,13 +70,19 @@ def fa_stats(fa: DataFrame, limit: float) -> DataFrame:
     return fa.agg(before.alias("before"), after.alias("after"), kept.alias("mean_kept"), (100.0 * after / before).alias("pct_kept"))
 
 
-def fa_connectivity(points: DataFrame, limit: float = 0.0) -> DataFrame:
-    """points (sl, ord, label, fa) -> (i, j, w): per streamline the mean of its samples, per unordered
-    pair of end regions the mean over streamlines. Ends in label 0 or in one region are left out."""
+def edge_weights(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """lines (keys, sl, a, b, fa) -> (keys, i, j, w): the mean over the streamlines of an unordered pair of
+    regions. Ends in label 0 or in one region are left out."""
+    k = keys or []
+    ends = lines.filter("a <> 0 and b <> 0 and a <> b").select(*k, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fa")
+    return ends.groupBy(*k, "i", "j").agg(F.avg("fa").alias("w"))
+
+
+def fa_connectivity(points: DataFrame, limit: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+    """points (keys, sl, ord, label, fa) -> (keys, i, j, w): per streamline the mean of its samples, then edge_weights."""
     sample = F.when(F.col("fa") >= limit, F.col("fa")) if limit > 0 else F.col("fa")
-    line = points.groupBy("sl").agg(F.min(F.struct("ord", "label"))["label"].alias("a"), F.max(F.struct("ord", "label"))["label"].alias("b"), F.avg(sample).alias("fa"))
-    ends = line.filter("a <> 0 and b <> 0 and a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fa")
-    return ends.groupBy("i", "j").agg(F.avg("fa").alias("w"))
+    line = points.groupBy(*(keys or []), "sl").agg(F.min(F.struct("ord", "label"))["label"].alias("a"), F.max(F.struct("ord", "label"))["label"].alias("b"), F.avg(sample).alias("fa"))
+    return edge_weights(line, keys)
 
 
 def symmetric(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -115,16 +125,55 @@ def regional_coupling(aligned: DataFrame, method: str = "spearman", keys: list[s
     return guarded_correlation(both, [*k, "region"], "s", "f", method)
 
 
-def extract_subject(bold: DataFrame, points: DataFrame, config: Config = Config()) -> DataFrame:
-    """Functional matrix, structural matrix, coupling, in one plan."""
+def coupling(structural: DataFrame, functional: DataFrame, config: Config = Config(), keys: list[str] | None = None, regions: tuple[int, int] | None = None) -> DataFrame:
+    """The configured coupling; regions are the sizes of the two matrices, which must be the same."""
+    config.check()
+    if regions and regions[0] != regions[1]:
+        raise ValueError(f"matrices of {regions[0]} and {regions[1]} regions don't share a parcellation")
+    measure = global_coupling if config.coupling_metric == "global_corr" else regional_coupling
+    return measure(align(structural, functional, keys), config.coupling_corr, keys)
+
+
+def functional(bold: DataFrame, config: Config = Config(), keys: list[str] | None = None) -> DataFrame:
+    fc = functional_connectivity(region_timeseries(bold, keys), config.fc_measure, keys)
+    return fc.withColumn("w", fisher_z()) if config.fc_fisher_z else fc
+
+
+def extract_subject(bold: DataFrame, points: DataFrame, config: Config = Config(), keys: list[str] | None = None) -> DataFrame:
+    """Functional matrix, structural matrix, coupling, in one plan; with keys, of every subject at once."""
     config.check()
     if config.fa_measure == "roi_fa":
         raise ValueError("roi_fa gives a value per region, not a matrix")
-    fc = functional_connectivity(region_timeseries(bold), config.fc_measure)
-    if config.fc_fisher_z:
-        fc = fc.withColumn("w", fisher_z())
-    both = align(fa_connectivity(points, config.fa_threshold), fc)
-    return (global_coupling if config.coupling_metric == "global_corr" else regional_coupling)(both, config.coupling_corr)
+    return coupling(fa_connectivity(points, config.fa_threshold, keys), functional(bold, config, keys), config, keys)
+
+
+def extract_cohort(subjects: DataFrame, bold: DataFrame, points: DataFrame, config: Config = Config(), regions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """subjects as discovery.resolve gives them; bold and points with a subject column -> couplings, and
+    (subject, reason) of those left out: files that lack, or another number of regions than the atlas has."""
+    from .discovery import conformance
+
+    checked = conformance(subjects, config.fa_measure)
+    errors = checked.filter(F.size("problems") > 0).select("subject", F.array_join("problems", "; ").alias("reason"))
+    fine = checked.filter(F.size("problems") == 0).select("subject")
+    if regions is not None:
+        found = bold.filter("label <> 0").groupBy("subject").agg(F.count_distinct(F.rint("label")).alias("k"))
+        counted = fine.join(found, "subject", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+        errors = errors.unionByName(counted.filter(F.col("k") != regions).select("subject", F.concat("k", F.lit(f" of {regions} regions")).alias("reason")))
+        fine = counted.filter(F.col("k") == regions).select("subject")
+    own = lambda df: df.join(fine, "subject", "left_semi")
+    return extract_subject(own(bold), own(points), config, ["subject"]), errors
+
+
+def matrix_range(edges: DataFrame, symmetric_range: bool = False) -> DataFrame:
+    """(low, high) of the finite weights for a colour scale; -1..1 or 0..1 where there is none, 1 for a top of 0."""
+    from ..functions.columns import finite
+
+    v = finite(F.col("w"))
+    one = lambda c: F.when(c == 0, 1.0).otherwise(c)
+    if symmetric_range:
+        top = F.coalesce(one(F.max(F.abs(v))), F.lit(1.0))
+        return edges.agg((-top).alias("low"), top.alias("high"))
+    return edges.agg(F.coalesce(F.min(v), F.lit(0.0)).alias("low"), F.coalesce(one(F.max(v)), F.lit(1.0)).alias("high"))
 
 
 def tensor_fa(dwi: DataFrame, bvals: list[float], bvecs: list[list[float]]) -> DataFrame:

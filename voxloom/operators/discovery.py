@@ -13,7 +13,9 @@ LAYOUT = {
     "dwi_path": r"dwi[^/]*\.nii(\.gz)?$",
     "bval_path": r"\.bval$",
     "bvec_path": r"\.bvec$",
+    "dwi_mask_path": r"mask[^/]*\.nii(\.gz)?$",
     "tractogram_path": r"\.(trk|tck)$",
+    "t1_path": r"T1w[^/]*\.nii(\.gz)?$",
 }
 STEPS = "finproc|bold|rest|clean"
 
@@ -40,7 +42,10 @@ def bold_files(files: DataFrame) -> DataFrame:
 
 
 def listing(spark, root: str, pattern: str = "*") -> DataFrame:
-    """Paths below a folder, from any store that Spark reads; contents are not read."""
+    """Paths below a folder, from any store that Spark reads; contents are not read. A folder that is not there is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(root)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
 
 

@@ -72,6 +72,31 @@ def points(spark, sf_dir) -> DataFrame:
     return line.join(fa(spark, sf_dir), "voxel").select("sl", "ord", "label", "fa")
 
 
+#: The affine under which made-up streamlines and volumes lie.
+AFFINE = [[2.0, 0.0, 0.0, -90.0], [0.0, 2.0, 0.0, -126.0], [0.0, 0.0, 2.0, -72.0], [0.0, 0.0, 0.0, 1.0]]
+
+
+def fa_volume(spark, sf_dir) -> DataFrame:
+    """(x, y, z, label, fa): the FA table on a grid of 20 x 20 planes; divided, so that means have no ties in rounding."""
+    v = F.col("voxel")
+    return fa(spark, sf_dir).select(F.floor(v / 400).cast("int").alias("x"), (F.floor(v / 20) % 20).cast("int").alias("y"), (v % 20).cast("int").alias("z"), "label", (F.col("fa") / 0.977).alias("fa"))
+
+
+def tracts(spark, sf_dir) -> DataFrame:
+    """(subject, sl, ord, px, py, pz): orders as streamlines in millimetres, each point off its part's voxel; five subjects."""
+    line, v, n = table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_linenumber")
+    at = [F.floor(v / 400) + 0.1 + (n % 5) * 0.05, F.floor(v / 20) % 20 + 0.3 - (n % 3) * 0.1, v % 20 + 0.2]
+    mm = [(2.0 * c + row[3]).alias(f"p{a}") for c, row, a in zip(at, AFFINE, "xyz")]
+    return line.select((F.col("l_orderkey") % 5).alias("subject"), F.col("l_orderkey").alias("sl"), (n.cast("long") * 100_000_000 + v).alias("ord"), *mm)
+
+
+def cohort_bold(spark, sf_dir) -> DataFrame:
+    """(subject, x, y, z, label, ts): the series with labels moved on and amplitudes of their own, for five subjects;
+    the second one lacks every fifth voxel."""
+    b = bold(spark, sf_dir).withColumn("subject", F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)]))).filter("subject <> 1 or vec_id % 5 <> 0")
+    return b.select("subject", "x", "y", "z", ((F.col("label") + F.col("subject")) % 10).cast("int").alias("label"), F.transform("ts", lambda v: v * (F.col("subject") + 1)).alias("ts"))
+
+
 def regional_values(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.groupBy((F.col("c_custkey") % 50).alias("subject"), F.col("c_nationkey").alias("region")).agg(F.avg("c_acctbal").alias("value"))
@@ -80,6 +105,6 @@ def regional_values(spark, sf_dir) -> DataFrame:
 def files(spark, sf_dir) -> DataFrame:
     """(subject, path): made-up listing; some subjects lack files."""
     s = F.col("s_suppkey")
-    names = F.array(*[F.lit(x) for x in ("_bold.nii.gz", "_rest.nii", "_FA.nii.gz", "_dwi.nii.gz", ".bval", ".bvec", ".trk")])
+    names = F.array(*[F.lit(x) for x in ("_bold.nii.gz", "_rest.nii", "_FA.nii.gz", "_dwi.nii.gz", ".bval", ".bvec", ".trk", "_mask.nii.gz", "_T1w.nii")])
     each = table(spark, sf_dir, "supplier").select(s.alias("subject"), F.posexplode(names).alias("k", "suffix")).filter((F.col("subject") + F.col("k")) % 5 != 0)
     return each.select("subject", F.concat(F.lit("s"), F.col("subject"), F.lit("/s"), F.col("subject"), "suffix").alias("path"))

@@ -119,7 +119,42 @@ ODD = "odd AS (SELECT k, sum(ln(2 * k + 1)) OVER (ORDER BY k) AS o FROM range(0,
 
 
 def hist(table: str, bins: int) -> str:
-    return f"e AS (SELECT min(value) AS lo, (max(value) - min(value)) / {bins} AS w FROM {table}) SELECT CAST(bin AS INTEGER) AS bin, {r('lo + bin * w', 'lo')}, n FROM (SELECT CASE WHEN w > 0 THEN least(floor((value - lo) / w), {bins - 1}) ELSE 0 END AS bin, lo, w, count(*) AS n FROM {table}, e GROUP BY ALL)"
+    return f"e AS (SELECT min(value) AS lo, (max(value) - min(value)) / {bins} AS w FROM {table}), h AS (SELECT CAST(bin AS INTEGER) AS bin, {r('lo + bin * w', 'lo')}, n FROM (SELECT CASE WHEN w > 0 THEN least(floor((value - lo) / w), {bins - 1}) ELSE 0 END AS bin, lo, w, count(*) AS n FROM {table}, e GROUP BY ALL))"
+
+
+#: Points of the made-up streamlines in voxels, their nearest voxels' labels and their FA samples.
+TRACTS = FA + """, vol AS (SELECT CAST(voxel // 400 AS INTEGER) AS x, CAST((voxel // 20) % 20 AS INTEGER) AS y, CAST(voxel % 20 AS INTEGER) AS z, label, fa / 0.977::DOUBLE AS fa FROM fa),
+pts AS (SELECT l_orderkey % 5 AS subject, l_orderkey AS sl, l_linenumber::BIGINT * 100000000 + l_partkey AS ord, l_partkey // 400 + 0.1::DOUBLE + (l_linenumber % 5) * 0.05::DOUBLE AS sx, (l_partkey // 20) % 20 + 0.3::DOUBLE - (l_linenumber % 3) * 0.1::DOUBLE AS sy, l_partkey % 20 + 0.2::DOUBLE AS sz,
+  CAST(l_partkey // 400 AS INTEGER) AS x, CAST((l_partkey // 20) % 20 AS INTEGER) AS y, CAST(l_partkey % 20 AS INTEGER) AS z FROM lineitem),
+near AS (SELECT pts.*, label, fa FROM pts JOIN vol USING (x, y, z)),
+ends AS (SELECT subject, sl, arg_min(label, ord) AS a, arg_max(label, ord) AS b FROM near GROUP BY ALL)"""
+
+
+def tract_edges(samples: str) -> str:
+    """Edge weights from samples (subject, sl, fa)."""
+    return f"line AS (SELECT subject, sl, avg(fa) AS fa FROM ({samples}) GROUP BY ALL) SELECT subject, least(a, b) AS i, greatest(a, b) AS j, {r('avg(fa)', 'w')} FROM ends JOIN line USING (subject, sl) WHERE a <> 0 AND b <> 0 AND a <> b GROUP BY ALL"
+
+
+def trilinear(limit: float) -> str:
+    corners = " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, {c} AS c" for a, b, c in product((0, 1), repeat=3))
+    weight = " * ".join(f"abs(1 - {o} - (s{c} - floor(s{c})))" for o, c in zip("abc", "xyz"))
+    one = f"SELECT subject, sl, ord, CASE WHEN NOT coalesce(bool_or(fa < {limit}::DOUBLE), false) THEN sum(coalesce(fa, 0) * {weight}) END AS fa FROM pts CROSS JOIN ({corners}) c LEFT JOIN vol ON vol.x = floor(sx) + a AND vol.y = floor(sy) + b AND vol.z = floor(sz) + c GROUP BY ALL"
+    return f"SELECT subject, sl, fa FROM ({one})"
+
+
+def fc_partial(n: int = 9) -> str:
+    """Minus the scaled inverse of the covariance, by sweeping one region after the other."""
+    steps = ["m0 AS MATERIALIZED (SELECT a.label AS i, b.label AS j, covar_samp(a.v, b.v) AS a FROM region a JOIN region b USING (t) GROUP BY ALL)"]
+    for k in range(1, n + 1):
+        m = f"m{k - 1}"
+        steps.append(f"m{k} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN m.i = {k} AND m.j = {k} THEN -1 / p.a WHEN m.i = {k} THEN c.a / p.a WHEN m.j = {k} THEN r.a / p.a ELSE m.a - r.a * c.a / p.a END AS a FROM {m} m JOIN {m} r ON r.i = m.i AND r.j = {k} JOIN {m} c ON c.i = {k} AND c.j = m.j JOIN {m} p ON p.i = {k} AND p.j = {k})")
+    return f"WITH {LONG}, {REGION}, {', '.join(steps)} SELECT m.i, m.j, {r('m.a / sqrt(p.a * q.a)', 'w')} FROM m{n} m JOIN m{n} p ON p.i = m.i AND p.j = m.i JOIN m{n} q ON q.i = m.j AND q.j = m.j WHERE m.i < m.j"
+
+
+#: Five subjects' series: labels moved on, the second one without every fifth voxel.
+COHORT_FC = LONG + """, cl AS (SELECT k AS subject, (label + k) % 10 AS label, t, v FROM long, range(5) q(k) WHERE k <> 1 OR vec_id % 5 <> 0),
+creg AS (SELECT subject, label, t, avg(v) AS v FROM cl WHERE label <> 0 GROUP BY ALL),
+cfc AS (SELECT a.subject, a.label AS i, b.label AS j, corr(a.v, b.v) AS f FROM creg a JOIN creg b ON a.subject = b.subject AND a.t = b.t AND a.label < b.label GROUP BY ALL)"""
 
 
 TARGET = "tgt AS (SELECT CAST(i // 50 AS INTEGER) AS x, CAST((i // 10) % 5 AS INTEGER) AS y, CAST(i % 10 AS INTEGER) AS z FROM range(0, 300) q(i))"
@@ -130,7 +165,7 @@ def _source(k: int) -> str:
     return " + ".join(f"{v}::DOUBLE * {c}" for v, c in zip(a[:3], "xyz")) + f" + {a[3]}::DOUBLE"
 
 
-FILES = "files AS (SELECT s_suppkey AS subject, 's' || s_suppkey || '/s' || s_suppkey || sfx AS path FROM supplier, (SELECT unnest(['_bold.nii.gz', '_rest.nii', '_FA.nii.gz', '_dwi.nii.gz', '.bval', '.bvec', '.trk']) AS sfx, unnest(range(7)) AS k) q WHERE (s_suppkey + k) % 5 <> 0)"
+FILES = "files AS (SELECT s_suppkey AS subject, 's' || s_suppkey || '/s' || s_suppkey || sfx AS path FROM supplier, (SELECT unnest(['_bold.nii.gz', '_rest.nii', '_FA.nii.gz', '_dwi.nii.gz', '.bval', '.bvec', '.trk', '_mask.nii.gz', '_T1w.nii']) AS sfx, unnest(range(9)) AS k) q WHERE (s_suppkey + k) % 5 <> 0)"
 RESOLVED = FILES + ", res AS (SELECT subject, " + ", ".join(f"min(path) FILTER (WHERE regexp_matches(path, '{p}')) AS {k}" for k, p in Q.D.LAYOUT.items()) + " FROM files GROUP BY subject)"
 IDS = "ids AS (SELECT s_suppkey + 5 AS subject FROM supplier WHERE s_suppkey % 3 = 0)"
 
@@ -187,7 +222,7 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "coupling_global_pearson": f"WITH {ALIGNED} SELECT {r('CASE WHEN count(*) >= 3 THEN corr(s, f) END', 'value')} FROM al WHERE s IS NOT NULL",
         "coupling_regional": f"WITH {ALIGNED}, ab AS (SELECT i AS region, s, f FROM al UNION ALL SELECT j, s, f FROM al), q AS ({spearman('region', 'ab')}) SELECT region, {r('CASE WHEN count(*) >= 3 THEN corr(rs, rf) END', 'value')} FROM q GROUP BY region",
         "extract_subject": f"WITH {LONG}, {REGION}, {sc(0.2)}, al AS (SELECT fc.i, fc.j, atanh(greatest(least(fc.w, 0.999999::DOUBLE), -0.999999::DOUBLE)) AS f, CASE WHEN sc.i IS NULL THEN 0 ELSE sc.w END AS s FROM fc LEFT JOIN sc USING (i, j)), ab AS (SELECT i AS region, s, f FROM al UNION ALL SELECT j, s, f FROM al) SELECT region, {r('CASE WHEN count(*) >= 3 THEN corr(s, f) END', 'value')} FROM ab WHERE s IS NOT NULL GROUP BY region",
-        "matrix_range": f"WITH {LONG}, {REGION} SELECT {r('max(abs(w))', 'top')}, {r('min(w)', 'low')}, {r('max(w)', 'high')} FROM fc",
+        "matrix_range": f"WITH {LONG}, {REGION} SELECT 'plain' AS kind, {r('min(w)', 'low')}, {r('max(w)', 'high')} FROM fc UNION ALL SELECT 'symmetric', round(-max(abs(w)), 6), round(max(abs(w)), 6) FROM fc UNION ALL SELECT 'none', 0, 1 UNION ALL SELECT 'none symmetric', -1, 1",
         "coupling_ref": f"WITH {VALUES} SELECT region, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n FROM vals WHERE subject <> 0 GROUP BY region",
         "compare_subject": f"WITH {VALUES}, {ODD}, g AS (SELECT region, avg(value) AS mean, stddev_samp(value) AS sd FROM vals WHERE subject <> 0 GROUP BY region), s AS (SELECT region, value, (value - mean) / sd AS zz FROM vals JOIN g USING (region) WHERE subject = 0) SELECT region, {r('value')}, {r('zz', 'z')}, {r('100 * (' + phi('zz') + ')', 'percentile')} FROM s",
         "empirical_pct": f"WITH {VALUES} SELECT a.region, {r('100::DOUBLE * count(*) FILTER (WHERE b.value < a.value) / count(*)', 'percentile')} FROM vals a JOIN vals b ON a.region = b.region AND b.subject <> 0 WHERE a.subject = 0 GROUP BY a.region",
@@ -202,7 +237,7 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "median_cv": f"WITH {REF} SELECT {r('quantile_cont(sd / mean, 0.5)', 'median_cv')} FROM good",
         "wrap_group_map": f"WITH {REF} SELECT x, y, z, {r('mean')}, {r('sd')}, (SELECT max(n_obs) FROM ref) AS n FROM ref",
         "zmap": f"WITH {REF} SELECT x, y, z, {r('(value - mean) / sd', 'score')} FROM nmaps JOIN good USING (x, y, z) WHERE subject = 0",
-        "summary_pct": f"WITH {MAPS}, s AS (SELECT subject, avg(value) AS v FROM maps GROUP BY subject) SELECT {r('100::DOUBLE * count(*) FILTER (WHERE v < (SELECT v FROM s WHERE subject = 0)) / count(*)', 'percentile')} FROM s WHERE subject % 10 <> 0",
+        "summary_pct": f"WITH {MAPS}, s AS (SELECT subject, avg(value) AS v FROM maps GROUP BY subject) SELECT {r('100::DOUBLE * count(*) FILTER (WHERE v < (SELECT v FROM s WHERE subject = 0)) / count(*)', 'percentile')} FROM s WHERE subject % 10 NOT IN (0, 3, 4)",
         "ttest": f"WITH {TESTS} SELECT subject, x, y, z, {r('t')}, {r('p')} FROM tests",
         "fdr": f"WITH {TESTS} SELECT subject, x, y, z, {r('q')}, {r('threshold')} FROM fdr",
         "diff_map": f"WITH {MAPS}, g AS (SELECT x, y, z, avg(value) AS mean FROM maps WHERE subject % 10 <> 0 GROUP BY ALL HAVING count(*) >= 2 AND stddev_samp(value) > 0) SELECT x, y, z, {r('value - mean', 'diff')} FROM maps JOIN g USING (x, y, z) WHERE subject = 0",
@@ -212,9 +247,9 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "map_agreement": f"WITH {MAPS}, ab AS (SELECT a.value AS a, b.value AS b FROM maps a JOIN maps b USING (x, y, z) WHERE a.subject = 1 AND b.subject = 2) SELECT {r('max(abs(a - b))', 'max_diff')}, {r('avg(abs(a - b))', 'mean_diff')}, {r('corr(a, b)', 'r')}, CASE WHEN max(abs(a - b)) < 1e-4 OR corr(a, b) > 0.9999 THEN 'MATCH' ELSE 'DIFFERENT' END AS verdict FROM ab",
         "group_average": f"WITH {REF} SELECT x, y, z, {r('avg(value)', 'value')}, count(*) AS covered FROM nmaps WHERE subject % 10 = 0 AND (SELECT count(DISTINCT subject) FROM nmaps WHERE subject % 10 = 0) >= 2 GROUP BY x, y, z",
         "map_stats": f"WITH {MAPS} SELECT subject, {r('avg(value)', 'mean')}, {r('quantile_cont(value, 0.5)', 'median')}, count(*) AS voxels FROM maps GROUP BY subject",
-        "mode_choice": f"WITH {MAPS}, s AS (SELECT subject % 3 AS measure, x, y, z, stddev_samp(value) AS sd FROM maps GROUP BY ALL), m AS (SELECT measure, coalesce(bool_or(sd > 0), false) AS has_sd, measure AS n FROM s GROUP BY measure) SELECT measure, has_sd, n, CASE WHEN has_sd AND n > 1 THEN 't' WHEN has_sd THEN 'z' ELSE 'diff' END AS mode FROM m",
-        "hist40": f"WITH {MAPS}, {hist('maps', 40)}",
-        "cohort_hist": f"WITH {VALUES}, p AS (SELECT subject, avg(value) AS value FROM vals GROUP BY subject), {hist('p', 25)}",
+        "mode_choice": f"WITH rm AS (SELECT l_suppkey AS subject, CAST(l_linenumber % 2 AS INTEGER) AS run, l_partkey % 200 AS v, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL), p AS (SELECT 0 AS measure, * FROM rm WHERE subject % 10 <> 0 UNION ALL SELECT 1, * FROM rm WHERE subject = 1 UNION ALL SELECT 2, * FROM rm WHERE subject = 2 AND run = 0), s AS (SELECT measure, coalesce(bool_or(sd > 0), false) AS has_sd FROM (SELECT measure, v, stddev_samp(value) AS sd FROM p GROUP BY ALL) GROUP BY measure), c AS (SELECT measure, count(DISTINCT subject) AS n FROM p GROUP BY measure) SELECT measure, has_sd, n, has_sd AND n > 1 AS can_ttest, CASE WHEN has_sd AND n > 1 THEN 't' WHEN has_sd THEN 'z' ELSE 'diff' END AS mode FROM s JOIN c USING (measure)",
+        "hist40": f"WITH {MAPS}, kept AS (SELECT CASE WHEN x = 1 THEN 0 ELSE value END AS value FROM maps WHERE x = 1 OR (y <> 2 AND z <> 3)), m AS (SELECT value FROM kept WHERE value <> 0), {hist('m', 40)} SELECT bin, lo, n, (SELECT count(*) FROM kept WHERE value = 0) AS excluded FROM h",
+        "cohort_hist": " UNION ALL ".join(f"SELECT * FROM (WITH {VALUES}, p AS (SELECT subject, avg(value) AS value FROM vals {w} GROUP BY subject), c AS (SELECT * FROM p WHERE subject <> 0), o AS (SELECT value AS v FROM p WHERE subject = 0), {hist('c', 25)} SELECT bin, lo, n, round((SELECT v FROM o), 6) AS own, CASE WHEN (SELECT v FROM o) IS NOT NULL THEN round((SELECT 100::DOUBLE * count(*) FILTER (WHERE value < (SELECT v FROM o)) / count(*) FROM c), 6) END AS percentile, {k} AS region FROM h)" for k, w in ((-1, ""), (3, "WHERE region = 3"))),
         "slice_profile": f"WITH {MAPS}, co AS (SELECT * FROM maps WHERE subject % 10 <> 0), {SLICES.format(by='subject', t='co', least=10)}, p AS (SELECT z, avg(value) AS value FROM maps WHERE subject = 0 GROUP BY z HAVING count(*) >= 10) SELECT z, {r('value')}, {r('mean')}, {r('mean - sd', 'low')}, {r('mean + sd', 'high')} FROM p JOIN sl USING (z) WHERE sd > 0 AND n >= 2",
         "montage": f"WITH {MAPS}, e AS (SELECT min(z) AS a, max(z) AS b FROM maps) SELECT CAST(i AS INTEGER) AS tile, CAST(floor(a + i * (b - a) / 23::DOUBLE) AS INTEGER) AS z FROM e, range(0, 24) q(i)",
         "range_2_98": f"WITH {MAPS} SELECT {r('quantile_cont(value, 0.02)', 'low')}, {r('quantile_cont(value, 0.98)', 'high')} FROM maps",
@@ -222,7 +257,7 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "fullest_slice": f"WITH {MAPS} SELECT z, count(*) AS n FROM maps WHERE subject % 10 = 0 GROUP BY z ORDER BY n DESC, z LIMIT 1",
         "affine_mm": f"WITH {BOLD} SELECT vec_id, {MM} FROM bold",
         "strip_ids": f"WITH {MAPS} SELECT x, y, z, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n_obs, coalesce(count(*) >= 2 AND stddev_samp(value) > 0, false) AS in_mask FROM maps WHERE subject % 10 <> 0 GROUP BY x, y, z",
-        "strip_verify": "SELECT true AS same, true AS clean",
+        "strip_verify": "SELECT * FROM (VALUES ('stripped', true, true), ('not stripped', true, false), ('changed', false, true), ('short', false, true)) q(\"case\", same, clean)",
         "cohort_filter": f"WITH {MAPS}, {IDS} SELECT subject, count(*) AS voxels FROM maps WHERE subject IN (SELECT subject FROM ids) GROUP BY subject",
         "cohort_missing": f"WITH {MAPS}, {IDS} SELECT subject FROM ids EXCEPT SELECT subject FROM maps",
         "held_out": f"WITH {MAPS}, {IDS} SELECT subject, count(*) AS voxels FROM maps WHERE subject NOT IN (SELECT subject FROM ids) GROUP BY subject",
@@ -238,7 +273,7 @@ SELECT vec_id, {r("0.72::DOUBLE * coalesce(sum(s / n) FILTER (WHERE lag < stop),
         "mask_mismatch": f"WITH {REF}, e AS (SELECT count(*) AS expected FROM good) SELECT subject, count(*) AS voxels, max(expected) AS expected, CASE WHEN count(*) <> max(expected) THEN 'mask differs; neighbourhoods at its edge differ too' END AS warning FROM maps, e WHERE subject % 10 = 0 GROUP BY subject",
         "batch_reference": f"WITH {MAPS}, c AS (SELECT *, count(*) OVER (PARTITION BY subject) AS k FROM maps WHERE subject % 10 <> 0), d AS (SELECT * FROM c WHERE k >= 190), vox AS (SELECT DISTINCT x, y, z FROM d), sub AS (SELECT DISTINCT subject FROM d), full_ AS (SELECT x, y, z, coalesce(value, 0) AS value, value IS NOT NULL AS there FROM vox CROSS JOIN sub LEFT JOIN d USING (subject, x, y, z)) SELECT x, y, z, {r('avg(value)', 'mean')}, {r('coalesce(stddev_samp(value), 0)', 'sd')}, bool_and(there) AS in_mask FROM full_ GROUP BY x, y, z",
         "batch_reference_errors": f"WITH {MAPS} SELECT subject, 'only ' || count(*) || ' voxels' AS reason FROM maps WHERE subject % 10 <> 0 GROUP BY subject HAVING count(*) < 190",
-        "synthetic_coupling_ref": "SELECT region, CAST(100 AS BIGINT) AS n, true AS mean_ok, true AS sd_ok FROM range(200) q(region)",
+        "synthetic_coupling_ref": "SELECT region, CAST(100 AS BIGINT) AS n, true AS mean_ok, true AS sd_ok, false AS other_mean, false AS other_sd FROM range(200) q(region)",
         "checksums": "SELECT 'p' || p_partkey AS path, sha256(p_name) AS sha256 FROM part",
         "checksum_verify": "SELECT 'p' || p_partkey AS path, p_partkey NOT IN (7, 9) AS ok FROM part",
         "compute_measure": f"""WITH {spectrum()}, pos AS (SELECT vec_id, x, y, z FROM bold WHERE label <> 0),
@@ -250,10 +285,21 @@ m AS (SELECT 'alff' AS measure, vec_id, avg(amp) FILTER (WHERE k BETWEEN 1 AND 3
 SELECT measure, x, y, z, {r("v", "value")} FROM m JOIN pos USING (vec_id)""",
         "nifti_scan": f"WITH {MAPS} SELECT subject, x, y, z, {r('round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3)', 'value')} FROM maps",
         "tractogram_scan": "SELECT l_orderkey % 64 AS file, dense_rank() OVER (PARTITION BY l_orderkey % 64 ORDER BY l_orderkey) - 1 AS sl, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS ord, CAST(l_linenumber AS INTEGER) AS px, CAST(l_partkey % 100 AS INTEGER) AS py FROM lineitem",
-        "gradient_scan": 'SELECT CAST(g AS INTEGER) AS g, bval::DOUBLE AS bval, bx::DOUBLE AS bx, "by"::DOUBLE AS "by", bz::DOUBLE AS bz FROM (VALUES (0, 0, 0, 0, 0), (1, 1000, 1, 0, 0), (2, 1000, 0, 1, 0), (3, 2000, 0, 0.6, 0.8)) q(g, bval, bx, "by", bz)',
+        "gradient_scan": 'SELECT CAST(r_regionkey AS INTEGER) AS g, r_regionkey * 1000::DOUBLE AS bval, r_regionkey / 10::DOUBLE AS bx, r_regionkey * 0.5::DOUBLE AS "by", 1 - r_regionkey::DOUBLE AS bz FROM region',
         "npz_roundtrip": f"WITH {REF} SELECT x, y, z, {r('mean')}, {r('sd')}, true AS in_mask FROM good",
         "synthetic_bold": "WITH g AS (SELECT CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y, CAST(c AS INTEGER) AS z, CAST(t AS INTEGER) AS t FROM range(6) a(a), range(6) b(b), range(6) c(c), range(16) t(t)) SELECT x, y, z, t, " + r("sum(exp(-(pow(x - 6 * (k % 3 + 1) / 4::DOUBLE, 2) + pow(y - 6 * (k % 5 + 1) / 6::DOUBLE, 2) + pow(z - 6 * (k % 2 + 1) / 3::DOUBLE, 2)) / 8) * sin(2 * pi() * (0.012::DOUBLE + 0.01::DOUBLE * k) * 0.72::DOUBLE * t))", "v") + " FROM g, range(8) q(k) GROUP BY x, y, z, t",
-        "stream_reference": f"WITH {MAPS} SELECT x, y, z, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n_obs FROM maps WHERE subject % 10 <> 0 GROUP BY x, y, z",
+        "fc_partial": fc_partial(),
+        "sc_from_streamlines": f"WITH {TRACTS}, {tract_edges(trilinear(0.1))}",
+        "sc_nearest": f"WITH {TRACTS}, {tract_edges('SELECT subject, sl, fa FROM near')}",
+        "coupling_cohort": f"WITH {TRACTS}, cline AS (SELECT subject, sl, arg_min(label % 10, ord) AS a, arg_max(label % 10, ord) AS b, avg(fa) AS fa FROM near GROUP BY ALL), csc AS (SELECT subject, least(a, b) AS i, greatest(a, b) AS j, avg(fa) AS s FROM cline WHERE a <> 0 AND b <> 0 AND a <> b GROUP BY ALL), {COHORT_FC}, al AS (SELECT subject, i, j, f, coalesce(s, 0) AS s FROM cfc LEFT JOIN csc USING (subject, i, j)), ab AS (SELECT subject, i AS region, s, f FROM al UNION ALL SELECT subject, j, s, f FROM al) SELECT subject, region, {r('CASE WHEN count(*) >= 3 THEN corr(s, f) END', 'value')} FROM ab WHERE subject IN (1, 2, 3) GROUP BY ALL",
+        "coupling_cohort_errors": "SELECT 0::BIGINT AS subject, 'no BOLD file' AS reason UNION ALL SELECT 4, 'no tractogram'",
+        "measure_cohort": f"WITH {spectrum()}, v AS (SELECT vec_id, x, y, z, avg(amp) FILTER (WHERE k BETWEEN 1 AND 3) AS a FROM amp JOIN bold USING (vec_id) GROUP BY ALL), m AS (SELECT x, y, z, CASE WHEN k = 1 AND vec_id % 5 = 0 THEN 0 ELSE a * (k + 1) END AS value, k = 1 AND vec_id % 5 = 0 AS gone FROM v, range(4) q(k)) SELECT x, y, z, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, NOT bool_or(gone) AS in_mask FROM m GROUP BY x, y, z",
+        "measure_cohort_errors": "SELECT 4::BIGINT AS subject, 'not 4-D' AS reason",
+        "grid_mismatch": f"WITH {MAPS}, g AS (SELECT subject, max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM maps WHERE subject % 3 <> 0 OR z < 7 GROUP BY subject) SELECT subject, nx, ny, nz, (nx, ny, nz) <> (SELECT (max(x) + 1, max(y) + 1, max(z) + 1) FROM maps WHERE subject % 10 <> 0) AS mismatch FROM g",
+        "diff_summary": f"WITH {MAPS}, g AS (SELECT x, y, z, avg(value) AS mean FROM maps WHERE subject % 10 <> 0 GROUP BY ALL HAVING count(*) >= 2 AND stddev_samp(value) > 0), o AS (SELECT * FROM maps WHERE subject = 0) SELECT 'shared' AS kind, {r('avg(value)', 'subject_mean')}, {r('avg(mean)', 'group_mean')} FROM o JOIN g USING (x, y, z) UNION ALL SELECT 'empty', NULL, NULL UNION ALL SELECT 'other grid', round(avg(value), 6), NULL FROM o",
+        "reference_table": f"WITH {REF} SELECT x, y, z, {r('mean')}, {r('sd')}, n_obs, n_obs >= 2 AND coalesce(sd, 0) > 0 AS in_mask FROM ref",
+        "stats_bundle": f"WITH {TESTS}, g AS (SELECT subject, t, p, q FROM fdr), c AS (SELECT subject, count(*) AS k, sum(t) AS t, sum(p) AS p, sum(q) AS q, count(*) FILTER (WHERE abs(t) > 1e-6) AS nt, count(*) FILTER (WHERE p > 1e-6) AS np, count(*) FILTER (WHERE q > 1e-6) AS nq FROM g GROUP BY subject) SELECT subject, 't' AS image, nt AS set, round(t, 1) AS total FROM c UNION ALL SELECT subject, 'p', np + 200 - k, round(p + 200 - k, 1) FROM c UNION ALL SELECT subject, 'q', nq + 200 - k, round(q + 200 - k, 1) FROM c UNION ALL SELECT subject, 'mask', k, k FROM c",
+        "stream_reference": f"WITH {MAPS} SELECT x, y, z, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n_obs, count(*) >= 2 AND coalesce(stddev_samp(value), 0) > 0 AS in_mask FROM maps WHERE subject % 10 <> 0 GROUP BY x, y, z",
         "flagship": f"WITH {spectrum()}, m AS (SELECT vec_id, avg(amp) FILTER (WHERE k BETWEEN 1 AND 3) AS v FROM amp GROUP BY vec_id) SELECT 'alff' AS measure, {r('avg(v)', 'mean')}, {r('quantile_cont(v, 0.5)', 'median')}, count(*) AS voxels FROM m",
     }
     for s in config.MSE_SCALES:

@@ -10,9 +10,11 @@ from ..functions.columns import r6, to_mm
 from ..operators import cohort as C
 from ..operators import connect as N
 from ..operators import discovery as D
+from ..operators import grids as G
 from ..operators import measures as M
 from ..operators import series as S
 from ..operators import spatial as P
+from ..operators import tracts as T
 from ..sources import images as I
 from ..streaming import reference as R
 from . import fixtures as X
@@ -225,7 +227,56 @@ def extract_subject(spark, sf):
 
 
 def matrix_range(spark, sf):
-    return _round(_fc(spark, sf).agg(F.max(F.abs("w")).alias("top"), F.min("w").alias("low"), F.max("w").alias("high")), "top", "low", "high")
+    fc = _fc(spark, sf)
+    ranges = [N.matrix_range(df, s).withColumn("kind", F.lit(k)) for k, df, s in (("plain", fc, False), ("symmetric", fc, True), ("none", fc.filter("i = 0"), False), ("none symmetric", fc.filter("i = 0"), True))]
+    return _round(ranges[0].unionByName(ranges[1]).unionByName(ranges[2]).unionByName(ranges[3]), "low", "high")
+
+
+def sc_from_streamlines(spark, sf):
+    """Streamlines in millimetres -> voxels -> end labels and FA samples -> matrices of five subjects."""
+    volume = X.fa_volume(spark, sf)
+    return _round(T.fa_weighted_connectivity(X.tracts(spark, sf), X.AFFINE, volume, volume, ["subject"], 0.1), "w")
+
+
+def sc_nearest(spark, sf):
+    volume = X.fa_volume(spark, sf)
+    return _round(T.fa_weighted_connectivity(X.tracts(spark, sf), X.AFFINE, volume, volume, ["subject"], method="nearest"), "w")
+
+
+def _coupled_cohort(spark, sf):
+    volume = X.fa_volume(spark, sf)
+    at = T.in_voxels(X.tracts(spark, sf), X.AFFINE)
+    near = at.select("subject", "sl", "ord", *[F.floor(F.col(f"s{c}") + 0.5).cast("int").alias(c) for c in "xyz"])
+    points = near.join(volume.withColumn("label", F.col("label") % 10), ["x", "y", "z"])
+    subjects = D.resolve(X.files(spark, sf).filter("subject < 5").select("subject", "path"))
+    return N.extract_cohort(subjects, X.cohort_bold(spark, sf), points, config.Config(coupling_corr="pearson", fa_threshold=0.0, fc_fisher_z=False), 9)
+
+
+def coupling_cohort(spark, sf):
+    return _round(_coupled_cohort(spark, sf)[0], "value")
+
+
+def coupling_cohort_errors(spark, sf):
+    return _coupled_cohort(spark, sf)[1]
+
+
+def _measured(spark, sf):
+    one = X.cohort_bold(spark, sf).withColumn("ts", F.when(F.col("subject") == 4, F.slice("ts", 1, 1)).otherwise(F.col("ts")))
+    return M.measure_reference("alff", one)
+
+
+def measure_cohort(spark, sf):
+    """One measure over every subject, and the cohort's reference, in one plan."""
+    return _round(_measured(spark, sf)[0], "mean", "sd")
+
+
+def measure_cohort_errors(spark, sf):
+    return _measured(spark, sf)[1]
+
+
+def grid_mismatch(spark, sf):
+    m = X.maps(spark, sf).filter("subject % 3 <> 0 or z < 7")
+    return G.grid_mismatch(m, _reference(spark, sf), ["subject"])
 
 
 def coupling_ref(spark, sf):
@@ -311,12 +362,13 @@ def _zmap(spark, sf):
 
 
 def summary_pct(spark, sf):
-    s = C.summaries(X.maps(spark, sf)).select(F.lit(1).alias("k"), "subject", F.col("summary").alias("value"))
-    return _round(C.empirical_percentile(s.filter("subject = 0").select("k", "value"), s.filter("subject % 10 <> 0"), ["k"]).drop("k"), "percentile")
+    s = C.summaries(X.maps(spark, sf)).select("subject", F.col("summary").alias("value"))
+    odd = F.when(F.col("subject") % 10 == 3, F.lit(None)).when(F.col("subject") % 10 == 4, F.lit(float("nan"))).otherwise(F.col("value"))
+    return _round(C.summary_percentile(s.filter("subject = 0"), s.filter("subject % 10 <> 0").withColumn("value", odd)), "percentile")
 
 
-def _n(spark, sf) -> int:
-    return X.cohort(X.maps(spark, sf)).agg(F.count_distinct("subject")).first()[0]
+def _n(spark, sf) -> DataFrame:
+    return X.cohort(X.maps(spark, sf)).agg(F.count_distinct("subject").alias("n"))
 
 
 def _tests(spark, sf):
@@ -339,6 +391,13 @@ def diff_map(spark, sf):
     return _round(C.difference(_one(spark, sf), C.voxel_reference(X.cohort(X.maps(spark, sf)))).select("x", "y", "z", "diff"), "diff")
 
 
+def diff_summary(spark, sf):
+    ref, one = C.voxel_reference(X.cohort(X.maps(spark, sf))), _one(spark, sf)
+    rows = [C.difference_summary(one, ref), C.difference_summary(one.filter("x < 0"), ref), C.difference_summary(one, ref, False)]
+    named = [r.withColumn("kind", F.lit(k)) for k, r in zip(("shared", "empty", "other grid"), rows)]
+    return _round(named[0].unionByName(named[1]).unionByName(named[2]), "subject_mean", "group_mean")
+
+
 def t_summary(spark, sf):
     return _round(C.t_summary(_fdr(spark, sf), ["subject"]), "mean_t", "max_abs_t", "p_pct", "q_pct", "p_threshold", "sd_t", "obs_chance")
 
@@ -367,22 +426,27 @@ def map_stats(spark, sf):
 
 
 def mode_choice(spark, sf):
-    m = X.maps(spark, sf).withColumn("measure", F.col("subject") % 3)
-    ref = m.groupBy("measure", "x", "y", "z").agg(F.stddev_samp("value").alias("sd"))
-    meta = ref.groupBy("measure").agg(F.coalesce(F.bool_or(F.col("sd") > 0), F.lit(False)).alias("has_sd"), (F.first("measure") + 0).alias("n"))
-    return C.mode(meta)
+    """References of a cohort, of one subject with a repeated run, and of one map."""
+    m = X.run_maps(spark, sf)
+    parts = [(0, "subject % 10 <> 0"), (1, "subject = 1"), (2, "subject = 2 and run = 0")]
+    named = [m.filter(w).withColumn("measure", F.lit(k)) for k, w in parts]
+    return C.mode(C.reference_facts(named[0].unionByName(named[1]).unionByName(named[2]), ["measure"]))
 
 
 # Charts' data
 
 
 def hist40(spark, sf):
-    return _round(C.histogram(X.maps(spark, sf), 40), "lo")
+    """With zeros and values that are none among the others."""
+    odd = F.when(F.col("x") == 1, 0.0).when(F.col("y") == 2, F.lit(float("nan"))).when(F.col("z") == 3, F.lit(None)).otherwise(F.col("value"))
+    return _round(C.histogram(X.maps(spark, sf).withColumn("value", odd), 40), "lo")
 
 
 def cohort_hist(spark, sf):
-    per = X.regional_values(spark, sf).groupBy("subject").agg(F.avg("value").alias("value"))
-    return _round(C.histogram(per, 25), "lo")
+    v = X.regional_values(spark, sf)
+    own, rest = v.filter("subject = 0").select("region", "value"), v.filter("subject <> 0")
+    both = [C.cohort_histogram(own, rest).withColumn("region", F.lit(-1)), C.cohort_histogram(own, rest, 3).withColumn("region", F.lit(3))]
+    return _round(both[0].unionByName(both[1]), "lo", "own", "percentile")
 
 
 def slice_profile(spark, sf):
@@ -424,7 +488,10 @@ def strip_ids(spark, sf):
 
 def strip_verify(spark, sf):
     ref = _ref_with_ids(spark, sf)
-    return C.same_rows(ref, C.strip_ids(ref))
+    changed = C.strip_ids(ref).withColumn("sd", F.when(F.col("x") == 2, F.col("sd") + 1).otherwise(F.col("sd")))
+    cases = {"stripped": C.strip_ids(ref), "not stripped": ref, "changed": changed, "short": C.strip_ids(ref).filter("x <> 3")}
+    out = [C.same_rows(ref, df).withColumn("case", F.lit(k)) for k, df in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def _ids(spark, sf):
@@ -512,7 +579,9 @@ def batch_reference_errors(spark, sf):
 
 
 def synthetic_coupling_ref(spark, sf):
-    return C.coupling_reference(C.synthetic_coupling(spark)).select("region", "n", (F.abs(F.col("mean") - 0.3) < 0.05).alias("mean_ok"), (F.abs(F.col("sd") - 0.1) < 0.03).alias("sd_ok"))
+    """Made-up couplings have the mean and spread they are made with, and no other."""
+    ref = C.coupling_reference(C.synthetic_coupling(spark)).select("region", "n", "mean", "sd")
+    return ref.select("region", "n", (F.abs(F.col("mean") - 0.3) < 0.05).alias("mean_ok"), (F.abs(F.col("sd") - 0.1) < 0.03).alias("sd_ok"), (F.abs(F.col("mean") - 0.4) < 0.05).alias("other_mean"), (F.col("sd") > 0.2).alias("other_sd"))
 
 
 def _contents(spark, sf):
@@ -566,9 +635,45 @@ def tractogram_scan(spark, sf):
     return back.select(F.col("path").cast("long").alias("file"), "sl", "ord", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
 
 
+def _folder(spark, name: str) -> str:
+    """A folder of this run's own that all executors see; a local one only in a local session without spark.checkpoint.dir."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="voxloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def gradient_scan(spark, sf):
-    rows = I.gradient_rows([0.0, 1000.0, 1000.0, 2000.0], [[0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.6], [0.0, 0.0, 0.0, 0.8]])
-    return spark.createDataFrame(rows, "g int, bval double, bx double, by double, bz double")
+    """The regions' keys as b-values and directions: two text files written, and read again."""
+    r = X.table(spark, sf, "region").orderBy("r_regionkey").select(F.col("r_regionkey").alias("k"))
+    line = lambda c: F.concat_ws("  ", F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("v")))), lambda x: x["v"].cast("string")))
+    rows = [line(F.col("k") * 1000.0), line(F.col("k") / 10), line(F.col("k") * 0.5), line(1.0 - F.col("k"))]
+    text = r.agg(*[x.alias(f"l{k}") for k, x in enumerate(rows)])
+    root = _folder(spark, "gradients")
+    text.select("l0").coalesce(1).write.text(f"{root}/bval")
+    text.select(F.explode(F.array("l1", "l2", "l3"))).coalesce(1).write.text(f"{root}/bvec")
+    return I.gradients(spark, f"{root}/bval", f"{root}/bvec")
+
+
+def reference_table(spark, sf):
+    """Two measures saved, one of them twice: each is read back once."""
+    root, ref = _folder(spark, "reference"), _reference(spark, sf)
+    for measure in ("alff", "rsfa", "alff"):
+        I.save_reference(ref, root, measure)
+    return _round(I.load_reference(spark, root, "alff"), "mean", "sd")
+
+
+def stats_bundle(spark, sf):
+    """The t, p, q and mask images of the held-out maps, written as files and scanned again."""
+    root = _folder(spark, "bundle")
+    I.save_files(I.bundle(_fdr(spark, sf), "subject", (5, 5, 8)), root)
+    back = I.voxels(I.binary(spark, root, "*.nii.gz")).select(F.regexp_extract("path", r"/(\d+)/", 1).cast("long").alias("subject"), F.regexp_extract("path", r"([a-z]+)\.nii", 1).alias("image"), F.get("ts", F.lit(0)).alias("v"))
+    return back.groupBy("subject", "image").agg(F.count(F.when(F.abs("v") > 1e-6, 1)).alias("set"), F.round(F.sum("v"), 1).alias("total"))
 
 
 def npz_roundtrip(spark, sf):
@@ -582,13 +687,9 @@ def synthetic_bold(spark, sf):
 
 def stream_reference(spark, sf):
     """The batch reference, from a stream of map files."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    root = _folder(spark, "stream")
     X.cohort(X.maps(spark, sf)).repartition(8, "subject").write.parquet(f"{root}/maps")
-    return _round(R.run_to_end(spark, f"{root}/maps", f"voxels_{uuid.uuid4().hex[:12]}", f"{root}/state"), "mean", "sd")
+    return _round(R.run_to_end(spark, f"{root}/maps", f"{root}/reference", f"{root}/state"), "mean", "sd")
 
 
 def flagship(spark, sf):

@@ -90,10 +90,42 @@ def images(maps: DataFrame, by: str, shape: tuple[int, int, int]) -> DataFrame:
     return maps.select(by, "x", "y", "z", "value").groupBy(by).applyInArrow(run, "path string, content binary")
 
 
+def bundle(tests: DataFrame, by: str, shape: tuple[int, int, int], prefix: str = "") -> DataFrame:
+    """tests (by, x, y, z, t, p, q) -> (path, content): t, p and q maps as float32 images and the mask they hold in as uint8, a folder a subject."""
+
+    def run(t: pa.Table) -> pa.Table:
+        at = tuple(t[c].to_numpy() for c in "xyz")
+        rows = []
+        for name in ("t", "p", "q"):
+            grid = np.full(shape, 1.0 if name != "t" else 0.0)
+            grid[at] = t[name].to_numpy()
+            rows.append((f"{t[by][0].as_py()}/{prefix}{name}.nii.gz", nifti_bytes(grid)))
+        mask = np.zeros(shape, bool)
+        mask[at] = True
+        rows.append((f"{t[by][0].as_py()}/{prefix}mask.nii.gz", nifti_bytes(mask)))
+        return pa.table({"path": [r[0] for r in rows], "content": [r[1] for r in rows]})
+
+    return tests.select(by, "x", "y", "z", "t", "p", "q").groupBy(by).applyInArrow(run, "path string, content binary")
+
+
+def save_files(files: DataFrame, folder: str) -> int:
+    """Writes (path, content) rows as files below a folder of any store that Spark writes to, one at a time; gives their number."""
+    spark, n = files.sparkSession, 0
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in files.select("path", "content").toLocalIterator(prefetchPartitions=False):
+        out = fs.create(path(f"{folder.rstrip('/')}/{r.path}"), True)
+        out.write(bytearray(r.content))
+        out.close()
+        n += 1
+    return n
+
+
 def gradients(spark, bval_path: str, bvec_path: str) -> DataFrame:
     """(g, bval, bx, by, bz) from white-space separated text; 3 x N vectors are turned."""
     read = lambda p: np.array([[float(x) for x in r.value.split()] for r in spark.read.text(p).collect() if r.value.strip()])  # noqa: E731  a few hundred numbers
-    return spark.createDataFrame(gradient_rows(read(bval_path), read(bvec_path)), "g int, bval double, bx double, by double, bz double")
+    vectors = read(bvec_path)
+    return spark.createDataFrame(gradient_rows(read(bval_path), vectors), "g int, bval double, bx double, by double, bz double")
 
 
 def gradient_rows(bvals, bvecs) -> list[tuple]:
@@ -176,8 +208,8 @@ def npz_reference(spark, raw: bytes) -> DataFrame:
 
 
 def save_reference(reference: DataFrame, path: str, measure: str) -> None:
-    """The table form: a partition for each measure, so reading one prunes the others."""
-    reference.withColumn("measure", F.lit(measure)).write.mode("append").partitionBy("measure").parquet(path)
+    """The table form: a partition for each measure, so reading one prunes the others; saving again replaces that one alone."""
+    reference.withColumn("measure", F.lit(measure)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("measure").parquet(path)
 
 
 def load_reference(spark, path: str, measure: str) -> DataFrame:
