@@ -608,24 +608,148 @@ def test_moderate_symbol_spam_is_an_outlier(spark):
 # 9 LM scoring
 
 
+def test_stirling_numbers():
+    """Against the weights of all seatings of a few customers, and the exact recursion for many."""
+    d = 0.6
+
+    def seatings(sizes, left):
+        if not left:
+            yield sizes
+            return
+        yield from seatings([*sizes, 1], left - 1)
+        for k in range(len(sizes)):
+            yield from seatings([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], left - 1)
+
+    for c in (1, 2, 4, 6):
+        want = collections.Counter()
+        for sizes in seatings([], c):
+            want[len(sizes)] += math.prod(math.prod(j - d for j in range(1, n)) for n in sizes)
+        got = np.exp(lm_scoring.stirling(8, d)[c])
+        assert all(abs(got[t] - want[t]) < 1e-9 * max(1, want[t]) for t in range(1, c + 1)) and got[c + 1 :].sum() == 0
+
+
+def test_tables_are_drawn_from_their_conditional():
+    d = lm_scoring.Discounts((60, 20), (40, 30))
+    n = 20_000
+    u, w = np.arange(n, dtype=np.uint64) * np.uint64(977) + np.uint64(5), np.arange(n, dtype=np.uint64) * np.uint64(31)
+    own, root, total = 12, 5, 60
+    for c in (2, 7, 64, 300, 12):
+        if c != 12:
+            t = lm_scoring.reseat(np.full(n, c), np.ones(n, np.int64), np.full(n, own), np.full(n, root), total, d, u, w, 3)
+        else:
+            t = np.array([len(lm_scoring.reseat_singly(c, None, own - 1, root - 1, total - 1, d, [k, 5], 400)) for k in range(1000)])
+        i = np.arange(1, c)
+        steps = np.log(lm_scoring.STRENGTH + d.d1 * (own - 1 + i)) + np.log(root - 1 + i - d.d0) - np.log(lm_scoring.STRENGTH + total - 1 + i)
+        lp = lm_scoring.stirling(c, d.d1)[c, 1:] + np.concatenate([[0], np.cumsum(steps)])
+        p = np.exp(lp - lp.max())
+        p /= p.sum()
+        assert np.abs(np.bincount(t, minlength=c + 1)[1:] / len(t) - p).max() < (0.02 if len(t) == n else 0.06)
+
+
+def test_packed_cells():
+    rng = np.random.Generator(np.random.PCG64(33))
+    hu, hw = (rng.integers(0, 1 << 56, 40, dtype=np.uint64)[rng.integers(0, 40, 900)] for _ in range(2))
+    doc, held = np.sort(rng.integers(0, 300, 900)), rng.random(300) < 0.3
+    c = lm_scoring.Cell(lm_scoring.cell(hu, hw, doc, 300, held))
+    got = collections.Counter()
+    for k, (a, b) in enumerate(zip(np.cumsum(c.n) - c.n, np.cumsum(c.n))):
+        for j in range(a, b):
+            got[int(c.u[c.pu[k]]), int(c.w[c.pw[k]]), int(c.docs[j])] += int(c.times[j])
+    assert got == collections.Counter(zip(hu.tolist(), hw.tolist(), doc.tolist()))
+    train = collections.Counter((a, b) for a, b, x in zip(hu.tolist(), hw.tolist(), doc) if not held[x])
+    assert [train[int(c.u[i]), int(c.w[j])] for i, j in zip(c.pu, c.pw)] == c.counts().tolist()
+
+
+def _pitman_yor(docs, train, sweeps, d1, d0, strength=1.0):
+    """A sequential sampler: each customer of each restaurant leaves and sits down again. Mean log10 probability of each document."""
+    rng = np.random.Generator(np.random.PCG64(34))
+    seats, root = collections.defaultdict(list), collections.Counter()  # (context, word) -> sizes of its tables
+    pairs = [(u, w) for k in train for u, w in zip([None, *docs[k]], docs[k])]
+    total = collections.Counter()  # customers and tables of a context
+    tables = collections.Counter()
+    words = sorted({w for _, w in pairs})
+
+    def p0(w):
+        return ((root[w] - d0) if root[w] else strength + d0 * len(words)) / (strength + sum(root.values()))
+
+    def sit(u, w):
+        sizes = seats[u, w]
+        new = (strength + d1 * tables[u]) * ((root[w] - d0) / (strength + sum(root.values())) if root[w] else 1.0)
+        weights = np.array([n - d1 for n in sizes] + [new if root[w] else 1.0])
+        k = rng.choice(len(weights), p=weights / weights.sum()) if root[w] else 0
+        if not root[w] or k == len(sizes):
+            sizes.append(1)
+            root[w] += 1
+            tables[u] += 1
+        else:
+            sizes[k] += 1
+        total[u] += 1
+
+    for u, w in pairs:
+        sit(u, w)
+    scores = []
+    for s in range(sweeps):
+        for u, w in pairs:
+            sizes = seats[u, w]
+            k = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+            if sizes[k] == 1 and root[w] == 1:
+                continue  # the only table of a word
+            sizes[k] -= 1
+            total[u] -= 1
+            if not sizes[k]:
+                del sizes[k]
+                root[w] -= 1
+                tables[u] -= 1
+            sit(u, w)
+        if s >= sweeps // 3:
+            scores.append([[(sum(seats[u, w]) - d1 * len(seats[u, w]) + (strength + d1 * tables[u]) * p0(w)) / (strength + total[u]) if total[u] else p0(w) for u, w in zip([None, *x], x)] for x in docs])
+    return [float(np.log10(np.mean([s[k] for s in scores], 0)).sum()) for k in range(len(docs))]
+
+
+def test_scores_match_a_sequential_sampler(spark):
+    rng = np.random.Generator(np.random.PCG64(35))
+    p = 1 / np.arange(1, 31)
+    follows = rng.dirichlet(np.full(30, 0.2), 30) * 0.7 + 0.3 * p / p.sum()
+    docs = []
+    for _ in range(70):
+        w = [int(rng.integers(30))]
+        for _ in range(25):
+            w.append(int(rng.choice(30, p=follows[w[-1]])))
+        docs.append(w)
+    told = [[f"v{k}" for k in x] + [""] for x in docs]
+    train = [k for k in range(70) if zlib.crc32(str(k).encode()) % 7 != 2]
+    count = collections.Counter((u, w) for k in train for u, w in zip([None, *told[k]], told[k]))
+    types = collections.Counter(w for _, w in count)
+    d = lm_scoring.Discounts(tuple(sum(n == k for n in count.values()) for k in (1, 2)), tuple(sum(n == k for n in types.values()) for k in (1, 2)))
+    want = _pitman_yor(told, train, 30, d.d1, d.d0)
+    df = spark.createDataFrame([(k, " ".join(f"v{j}" for j in x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.op9(spark, df).collect()}
+    off = np.array([got[k] - want[k] for k in range(70)])
+    assert abs(off.mean()) < 0.01 * abs(np.mean(want)) and np.abs(off).max() < 0.06 * abs(np.mean(want))
+
+
 def test_model_sums_to_one():
     rng = np.random.Generator(np.random.PCG64(16))
-    c = rng.integers(0, 4, (300, lm_scoring.CONTEXTS)) * rng.integers(0, 2, (300, lm_scoring.CONTEXTS))
+    c = rng.integers(0, 9, (300, 8)) * rng.integers(0, 2, (300, 8))
     c[:, 0] += 1
-    t = np.minimum(c, 1)
-    root = t.sum(1)
-    s = lm_scoring.State(c.sum(0).astype(float), t.sum(0).astype(float), len(c), 0.6, 0.4)
-    assert np.allclose(s.prob(c, t).sum(0) + s.unknown(), 1)
-    drawn = s.seats(c, rng)
-    assert ((drawn >= t) & (drawn <= c)).all() and root.sum() <= drawn.sum()
-
-
-def test_seats_grow_slowly():
-    rng = np.random.Generator(np.random.PCG64(17))
-    c = np.full(2000, 5000)
-    t = lm_scoring.seat(c, np.full(2000, 1.5), 0.0, rng)
-    want = sum(1.5 / (1.5 + n) for n in range(5000))
-    assert abs(t.mean() - want) < 0.05 * want
+    t = [np.minimum(c, k) for k in (1, 2)]
+    d = lm_scoring.Discounts((60, 20), (40, 30))
+    m = lm_scoring.Predictive(d, int(c.sum()), len(c), [int(x.sum()) for x in t], None, None, None)
+    customers, none = np.append(c.sum(0), 0), np.zeros(9)
+    wide = lambda x: np.concatenate([x, np.zeros((len(x), 1))], 1)  # noqa: E731  and a context that was never seen
+    known = m.prob(wide(c), [wide(x) for x in t], customers, [np.append(x.sum(0), 0) for x in t], [m.root(x.sum(1), k)[:, None] for k, x in enumerate(t)])
+    unknown = m.prob(none, [none, none], customers, [np.append(x.sum(0), 0) for x in t], [m.root(np.zeros(1), k) for k in range(2)])
+    assert np.allclose(known.sum(0) + unknown, 1)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, real):
+    few = real.filter("doc_id % 3 = 0")
+    want = {r.doc_id: r for r in lm_scoring.score(few.coalesce(1), Scratch(spark, "t")).collect()}
+    for parts, nbytes in ((4, 1 << 30), (9, 20_000)):
+        got = lm_scoring.score(few.repartition(parts), Scratch(spark, "t"), nbytes).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert abs(r.score - want[r.doc_id].score) < 1e-9 * abs(r.score) and abs(r.base_score - want[r.doc_id].base_score) < 1e-9 * abs(r.base_score)
 
 
 def test_op9(spark, docs, empty, real):
@@ -642,9 +766,6 @@ def test_op9(spark, docs, empty, real):
         assert all(r.score < 0 for r in got)
         if df is real:
             assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
-    few = lm_scoring.score(real, Scratch(spark, "t"), frequent=50)
-    many = {r.doc_id: r.score for r in lm_scoring.score(real, Scratch(spark, "t")).collect()}
-    assert all(abs(r.score - many[r.doc_id]) < 1e-6 * abs(r.score) for r in few.collect())
     assert lm_scoring.op9(spark, empty).count() == 0
 
 

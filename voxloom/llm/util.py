@@ -43,14 +43,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more, and lets Spark delete the shuffle files of finished
-        jobs: it does so when the driver's garbage is collected, which may else be long after."""
+        """Deletes tables that nothing reads any more, and frees."""
         jvm = self.spark._jvm
         for name in names or ("",):
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.free()
+
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs: it does so when the driver's garbage is
+        collected, which may else be long after."""
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def workers_find_package(spark: SparkSession) -> None:
