@@ -652,12 +652,15 @@ def test_packed_cells():
     doc, held = np.sort(rng.integers(0, 300, 900)), rng.random(300) < 0.3
     c = lm_scoring.Cell(lm_scoring.cell(hu, hw, doc, 300, held))
     got = collections.Counter()
-    for k, (a, b) in enumerate(zip(np.cumsum(c.n) - c.n, np.cumsum(c.n))):
+    ends = np.cumsum(c.n.astype(int))
+    for k, (a, b) in enumerate(zip(ends - c.n, ends)):
         for j in range(a, b):
             got[int(c.u[c.pu[k]]), int(c.w[c.pw[k]]), int(c.docs[j])] += int(c.times[j])
     assert got == collections.Counter(zip(hu.tolist(), hw.tolist(), doc.tolist()))
     train = collections.Counter((a, b) for a, b, x in zip(hu.tolist(), hw.tolist(), doc) if not held[x])
-    assert [train[int(c.u[i]), int(c.w[j])] for i, j in zip(c.pu, c.pw)] == c.counts().tolist()
+    few = lm_scoring.Cell(lm_scoring.counts_cell(hu, hw, ~held[doc]))
+    for x in (c, few):
+        assert [train[int(x.u[i]), int(x.w[j])] for i, j in zip(x.pu, x.pw)] == x.c.tolist()
 
 
 def _pitman_yor(docs, train, sweeps, d1, d0, strength=1.0):

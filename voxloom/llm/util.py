@@ -88,6 +88,19 @@ def batches(it, rows: int = TEXT_BATCH, nbytes: int = 8 << 20):
     pa.default_memory_pool().release_unused()  # the worker lives on
 
 
+def gathered(it, rows: int, nbytes: int):
+    """Arrow batches put together, or cut, to about so many rows and bytes."""
+    held, n, size = [], 0, 0
+    for b in batches(it, rows, nbytes):
+        if held and (n + b.num_rows > rows or size + b.nbytes > nbytes):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, size = [], 0, 0
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def hashed_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
     """The rows with the smallest hashes of cols, at most rows of them. Where there are more, a
     hash filter leaves little over that many first, so no task meets more than it has to."""
