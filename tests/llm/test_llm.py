@@ -230,6 +230,18 @@ def test_op10(spark, docs, empty, real):
     assert simhash_dedup.op10(spark, empty).count() == 0
 
 
+def test_unlike_rows_may_share_ids(spark):
+    """Two texts, or vectors, under one id are two nodes: neither takes the other's links."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, b)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash_dedup.op10(spark, df).collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 1): 1}
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, x), (1, y), (2, [1.0, 0.1, 0.0, 0.0]), (3, [0.1, 1.0, 0.0, 0.0]), (5, [0.0, 0.1, 0.01, 0.0])]
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.op2(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {(1, 1, 1): 1, (1, 2, 1): 1, (2, 1, 1): 1, (3, 2, 1): 1, (5, 2, 1): 1}
+
+
 def test_links_lose_nothing(spark):
     """Chains and balls of fingerprints up to four bits apart, over buffers of a few rows."""
     rng = np.random.Generator(np.random.PCG64(6))
@@ -576,6 +588,63 @@ def test_op8(spark, docs, empty, real):
     assert quality_rules.op8(spark, empty).count() == 0
 
 
+def _distances(rows):
+    """rows (lang, source, features) past the base -> squared distances, by NumPy over whole groups: starts, concentration
+    steps with the binned share of H, reweighting, floors and pools as the operator states them. None without an estimate."""
+    q = quality_rules
+    x = np.array([r[2] for r in rows])
+    size, langs = collections.Counter(r[:2] for r in rows), collections.Counter(r[0] for r in rows)
+    judge = [r[:2] if size[r[:2]] >= q.LEAST else (r[0], "*") if langs[r[0]] >= q.LEAST else ("*", "*") for r in rows]
+    out = [None] * len(rows)
+    for key in set(judge):
+        own = [k for k, r in enumerate(rows) if (r[:2] == key if "*" not in key else key[0] in ("*", r[0]))]
+        if len(own) < q.LEAST:
+            continue
+        g = x[own]
+
+        def factor(v, f):
+            v = v * f
+            np.fill_diagonal(v, np.maximum(np.diag(v), np.array(q.FLOOR) ** 2))
+            return v
+
+        def d2(centre, v, z):
+            return np.einsum("ij,jk,ik->i", z - centre, np.linalg.inv(v), z - centre)
+
+        low, mid, high = (np.quantile(g, p, 0, method="inverted_cdf") for p in (0.25, 0.5, 0.75))
+        starts = [(mid, factor(np.diag(((high - low) / 1.349) ** 2), 1.0))]
+        best = None
+        for centre, v in starts:
+            for _ in range(q.STEPS):
+                bins = np.floor(64 * np.log(d2(centre, v, g) + 1e-6))
+                edge = np.sort(bins)[math.ceil(len(own) * q.H) - 1]
+                some = g[bins <= edge]
+                centre, v = some.mean(0), factor(np.cov(some.T, bias=True), q.FACTOR_H)
+            if best is None or np.linalg.slogdet(v)[1] < np.linalg.slogdet(best[1])[1]:
+                best = centre, v
+        some = g[d2(*best, g) <= q.CHI_975]
+        centre, v = some.mean(0), factor(np.cov(some.T, bias=True), q.FACTOR_W)
+        mine = [k for k in range(len(rows)) if judge[k] == key]
+        for k, d in zip(mine, d2(centre, v, x[mine])):
+            out[k] = float(d)
+    return out
+
+
+def test_distances_against_numpy(spark, real, monkeypatch):
+    """With the start from the medians alone, as the other one's rows are chosen by Spark's hash."""
+    monkeypatch.setattr(quality_rules, "CHOSEN", 0)
+    got = {r.doc_id: r for r in quality_rules.op8(spark, real).collect()}
+    rows, ids = [], []
+    for r in real.collect():
+        n, c, sym, dup, rep, failed = _statistics(r.text or "")
+        if not failed:
+            rows.append((r.lang or "", r.source or "", [math.log1p(n), math.log(c / max(n, 1) + 1e-9), math.log1p(100 * sym / max(c, 1)), math.log1p(dup), math.log1p(100 * rep / max(n, 1))]))
+            ids.append(r.doc_id)
+    want = _distances(rows)
+    assert all(d is not None for d in want) and len(want) > 100
+    for k, d in zip(ids, want):
+        assert abs(got[k].d2 - d) < 1e-6 * max(1, d) and got[k].kept == (d <= quality_rules.CUTOFF)
+
+
 def test_outliers_by_robust_distance(spark):
     rng = np.random.Generator(np.random.PCG64(15))
     rows = [(k, " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(int(rng.lognormal(5, 0.4)))), "en", "s", 0) for k in range(500)]

@@ -241,9 +241,10 @@ def valid(e="embedding"):
 
 
 def links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, trees: int = TREES, sample_rows: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """vectors (vec_id, embedding), valid ones -> classes (embedding, rep, n) and links (a, n, b)."""
+    """vectors (vec_id, embedding), valid ones -> classes (embedding, low, n, rep) and links (a, n, b) of their numbers rep."""
     sc = vectors.sparkSession.sparkContext
-    classes = scratch.table(vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    classes = vectors.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # no two classes share a number, whatever ids their rows have
     total = classes.count()
     sample = hashed_sample(classes.select("embedding"), sample_rows, total, "embedding").collect()
     dim = max((len(r[0]) for r in sample), default=1)
@@ -261,7 +262,7 @@ def links(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tr
 def op2(spark, vectors: DataFrame) -> DataFrame:
     """One row per vector. Invalid vectors (null, zero, null or non-finite parts, no vec_id) link
     with nothing and are their own component; vectors of different lengths don't link; repeated
-    rows are vectors of their own; an empty table gives no rows."""
+    rows are vectors of their own, and so are unlike ones that share a vec_id; an empty table gives no rows."""
     scratch = Scratch(spark, "op2")
     rows = vectors.select("vec_id", "embedding")
     fine = rows.filter(valid())
@@ -270,7 +271,9 @@ def op2(spark, vectors: DataFrame) -> DataFrame:
     comp = components(found.select("a", "b"), scratch)
     per = found.groupBy("a").agg(F.sum("n").alias("links"))
     of = classes.join(per, classes["rep"] == per["a"], "left").join(comp, classes["rep"] == comp["id"], "left")
-    of = of.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of = scratch.table(of.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "low", F.coalesce("component", "rep").alias("component")), "of")
+    lowest = scratch.table(of.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    of = of.join(lowest, "component").drop("low", "component")
     good = fine.join(of, "embedding").select("vec_id", "n_links", "component_id")
     bad = rows.filter(~valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -24,9 +24,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 H = 0.75
 STEPS = 3
+#: Eighths of the rows that the second start is made of.
+CHOSEN = 1
 LEAST = 50
-#: Squared distance beyond which a document is rejected, by measured rates (README); the 0.999 quantile of chi-square is 20.5.
-CUTOFF = 30.0
+#: Squared distance beyond which a document is rejected: the quantile of chi-square, for five features, that one of 100,000 normal rows exceeds.
+CUTOFF = 30.856
 # Fixed values for five features: 0.975 quantile of chi-square, and the factors that make the
 # covariance of the inner 0.75 and 0.975 of a normal sample consistent.
 CHI_975, FACTOR_H, FACTOR_W = 12.833, 1.41, 1.055
@@ -86,8 +88,8 @@ _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
 def _factor(stats: DataFrame, factor: float) -> DataFrame:
-    """Adds the lower Cholesky factor l_ij of the covariance (floors added) and its log determinant."""
-    cov = {(i, j): F.col(f"v{i}{j}") * factor + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    """Adds the lower Cholesky factor l_ij of the covariance (variances are their floors at least) and its log determinant."""
+    cov = {(i, j): F.greatest(F.col(f"v{i}{j}") * factor, F.lit(FLOOR[i] ** 2)) if i == j else F.col(f"v{i}{j}") * factor for i, j in _PAIRS}
     for i in range(_P):
         for j in range(i + 1):
             rest = functools.reduce(operator.add, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
@@ -115,14 +117,14 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = scratch.table(sizes, "sizes")
     spread = [F.pow((F.get(f"q{k}", F.lit(2)) - F.get(f"q{k}", F.lit(0))) / 1.349, 2) for k in range(_P)]
     median = sizes.select(*_GROUP, F.lit(0).alias("start"), *[F.get(f"q{k}", F.lit(1)).cast("double").alias(f"m{k}") for k in range(_P)], *[(spread[i] if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS])
-    some = rows.filter(F.pmod(F.xxhash64(F.lit(17), *_X), F.lit(8)) == 0)
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(17), *_X), F.lit(8)) < CHOSEN)
     chosen = _moments(some, _GROUP).join(sizes.select(*_GROUP), _GROUP).filter("used > 10").select(*_GROUP, F.lit(1).alias("start"), *[f"m{k}" for k in range(_P)], *[f"v{i}{j}" for i, j in _PAIRS])
     stats, keys = scratch.table(_factor(median.unionByName(chosen), 1.0), "start"), [*_GROUP, "start"]
     inner = sizes.select(*_GROUP, F.ceil(F.col("n") * H).alias("h"))
     bin_ = F.floor(64 * F.log(F.col("d2") + 1e-6)).cast("int")
     for step in range(STEPS):
         near = _with_distance(rows, stats, _GROUP).select(*keys, *_X, bin_.alias("bin"))
-        counts = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+        counts = scratch.table(near.groupBy(*keys, "bin").agg(F.count("*").alias("n")), f"bins{step}")  # summed by bin first: tasks' counts of a large group don't meet in one
         upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy(*keys).orderBy("bin"))).join(inner, _GROUP)
         edge = scratch.table(upto.filter("upto >= h").groupBy(*keys).agg(F.min("bin").alias("edge")), f"edge{step}")  # one row a group: rows are combined before they are dealt
         stats = scratch.table(_factor(_moments(near.join(edge, keys).filter("bin <= edge"), keys), FACTOR_H), f"step{step}")
@@ -170,4 +172,6 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op8(spark, docs: DataFrame) -> DataFrame:
+    """One row per document: its statistics, base_failed, kept and the squared distance d2 (null without an
+    estimate); cases as in judge. A very long text is one row's arrays of words and windows, in one task."""
     return judge(docs, Scratch(spark, "op8"))

@@ -213,10 +213,12 @@ def dedup(docs: DataFrame, scratch: Scratch, size: int = 4, max_bits: int = MAX_
     with an id is in it; an empty table gives no rows.
     """
     prints = scratch.table(fingerprints(docs, size), "prints")
-    classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    comp = components(links(classes.filter("rep is not null"), max_bits), scratch)
-    of = classes.join(comp, classes["rep"] == comp["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    found = links(classes.select("fp", F.col("fp").alias("rep")), max_bits)  # a class is its fingerprint, whatever ids its rows have
+    comp = components(found, scratch)
+    of = scratch.table(classes.join(comp, classes["fp"] == comp["id"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "of")
+    lowest = scratch.table(of.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    return prints.join(of.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op10(spark, docs: DataFrame) -> DataFrame:
