@@ -244,6 +244,8 @@ BAND_ROWS = 16
 MISSED = 0.01
 #: Bands and leaders of the first round, which leaves little of large groups.
 LEADER_BANDS, LEADERS = 16, 8
+#: A band's number stands above its bits in a key.
+BAND_SHIFT = 50
 #: Pairs of sets in one Arrow batch: a set may be as long as its document.
 ALIKE_BATCH = 256
 _FAMILIES = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, WIDE // 64, dtype=np.uint64) | np.uint64(1)
@@ -283,9 +285,14 @@ def _wide_prints(size: int):
     return run
 
 
+def _chosen(bands: int, width: int) -> np.ndarray:
+    """The places of each band's bits, fixed ones out of all."""
+    return np.array([np.random.Generator(np.random.PCG64([SEED, k])).choice(WIDE, width, replace=False) for k in range(bands)])
+
+
 def _bands(bands: int, width: int):
-    """A row for each class and band: the band's bits, fixed ones out of all, are the key."""
-    chosen = np.array([np.random.Generator(np.random.PCG64([SEED, k])).choice(WIDE, width, replace=False) for k in range(bands)])
+    """A row for each class and band: the band's bits are the key, its number above them."""
+    chosen = _chosen(bands, width)
 
     def run(it):
         weights = (np.uint64(1) << np.arange(width, dtype=np.uint64)).astype(np.int64)
@@ -293,14 +300,18 @@ def _bands(bands: int, width: int):
             raw = b.column(1)
             bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
             for k in range(bands):
-                key = bits[:, chosen[k]].astype(np.int64) @ weights + (k << 50)
+                key = bits[:, chosen[k]].astype(np.int64) @ weights + (k << BAND_SHIFT)
                 yield pa.RecordBatch.from_arrays([pa.array(key), raw, b.column(0)], ["key", "bits", "rep"])
 
     return run
 
 
-def _wide_pairs(limit: int, n_pivots: int, leaders: int):
-    """Pairs of one key within limit bits: each row with its leader, for so many leaders a key; all pairs if leaders is 0."""
+def _wide_pairs(limit: int, n_pivots: int, leaders: int, bands: int, width: int):
+    """Pairs of one key within limit bits: each row with its leader, for so many leaders a key; all pairs if leaders is 0,
+    each in the first band that it shares alone."""
+    masks = np.zeros((bands, WIDE), np.uint8)
+    masks[np.arange(bands)[:, None], _chosen(bands, width)] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
     table = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (n_pivots, WIDE // 64), dtype=np.uint64)
 
     def batch(rep, i, j):
@@ -330,9 +341,17 @@ def _wide_pairs(limit: int, n_pivots: int, leaders: int):
                 j = i + shift
                 near = np.abs(dist[i] - dist[j]).max(1) <= limit
                 i, j = i[near], j[near]
-                true = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int16) <= limit
-                if true.any():
-                    yield batch(rep, i[true], j[true])
+                apart = fp[i] ^ fp[j]
+                true = np.bitwise_count(apart).sum(1, dtype=np.int16) <= limit
+                i, j, apart = i[true], j[true], apart[true]
+                for at_ in range(0, len(i), 4096):
+                    a_, b_, x = i[at_ : at_ + 4096], j[at_ : at_ + 4096], apart[at_ : at_ + 4096]
+                    shared = np.ones((len(x), bands), bool)
+                    for word in range(x.shape[1]):
+                        shared &= (x[:, word, None] & masks[None, :, word]) == 0
+                    once = shared.argmax(1) == key[a_] >> BAND_SHIFT
+                    if once.any():
+                        yield batch(rep, a_[once], b_[once])
 
     def run(it):
         held, n = [], 0
@@ -411,7 +430,7 @@ def wide_links(classes: DataFrame, text: DataFrame, scratch: Scratch, limit: int
 
     def pairs(some, bands, leaders, name):
         spread = some.select("rep", "bits").mapInArrow(_bands(bands, width), "key long, bits binary, rep long")
-        found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_pairs(limit, n_pivots, leaders), "a long, b long")
+        found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_pairs(limit, n_pivots, leaders, bands, width), "a long, b long")
         return scratch.table(found.distinct(), name)
 
     first = verified(pairs(classes, LEADER_BANDS, LEADERS, "led"), classes, text, scratch, "led", size)
