@@ -30,7 +30,7 @@ _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pi
 def _cut(path: str, end: int, size: int):
     def run(it):
         enc = tokens.encoder(path)
-        for b in batches(it, 3072, 12 << 20):
+        for b in batches(it, 2048, 8 << 20):
             starts, ids = enc.encode(b.column(1), end)
             raw, rows = memoryview(ids.tobytes()), []
             for d, first, last in zip(b.column(0).to_pylist(), starts.tolist(), starts[1:].tolist()):

@@ -22,7 +22,7 @@ LEXICON = 512
 CUTOFF = 0.3
 STEM = 5
 NEAR = 5
-MEMO = 300_000
+MEMO = 150_000
 # Second-person words, and the letters that digits and signs stand for.
 SECOND_PERSON = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "ton", "ta", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros"]
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
