@@ -314,6 +314,66 @@ def test_near_duplicates_by_exact_similarity(spark):
     assert sum(2 * k + 1 not in got for k in range(0, 160, 2)) >= 0.95 * lost
 
 
+def test_near_duplicates_lose_no_link(spark, monkeypatch):
+    """Chains whose ends are unlike, short texts and sets of frequent shingles: the groups are those of comparing all pairs."""
+    rng = np.random.Generator(np.random.PCG64(29))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def less(w, least):
+        """w with words changed, as many as leave that similarity."""
+        v = list(w)
+        for _ in range(len(w)):
+            u = list(v)
+            u[rng.integers(len(u))] = f"new{rng.integers(10**9)}"
+            if len(grams(w) & grams(u)) < least * len(grams(w) | grams(u)):
+                break
+            v = u
+        return v
+
+    told = []
+    for k in range(60):
+        w = [f"d{k}w{j}" for j in rng.integers(0, 10**6, rng.integers(60, 500))]
+        told += [w, v := less(w, 0.8), less(v, 0.8)]
+    for k in range(60):
+        w = [f"s{k}w{j}" for j in range(int(rng.integers(5, 20)))]
+        told += [w, [*w, "more"], ["less", *w], w[1:]]
+    common = [f"c{j}" for j in range(200)]
+    told += [[f"m{k}", *common[k : k + 120], f"n{k}"] for k in range(0, 80, 2)]
+    order = rng.permutation(len(told))
+    sets = [grams(told[k]) for k in order]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        before = list(root)
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    df = spark.createDataFrame([(k, " ".join(told[at])) for k, at in enumerate(order)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in simhash_dedup.one_of_each(df, Scratch(spark, "t")).collect()}
+    assert got == {k for k, r in enumerate(root) if k == r}
+
+    hashed = [np.unique(simhash_dedup.shingle_hashes(" ".join(told[k]), 5)) for k in order]
+    many = collections.Counter(h for x in hashed for h in x.tolist())
+    often = np.array(sorted(h for h in many if many[h] > 3), np.uint64)
+    rank = np.argsort(np.argsort([many[h] for h in often.tolist()]))
+    rows = sorted((int(np.uint64(h).view(np.int64)), k, k // 200, len(x), at) for k, x in enumerate(hashed) for at, h in enumerate(simhash_dedup.prefix(x, often, rank, 0.8)))
+    odd = [simhash_dedup.folded(simhash_dedup.parities(x)) for x in hashed]
+    for large, held in ((512, 1 << 18), (4, 64)):  # here, as workers don't see other constants
+        monkeypatch.setattr(simhash_dedup, "LARGE_GROUP", large)
+        monkeypatch.setattr(simhash_dedup, "BUFFER_ROWS", held)
+        cut = (rows[at : at + 50] for at in range(0, len(rows), 50))
+        cols = ([pa.array([r[0] for r in x]), pa.array([r[1] for r in x]), pa.array([r[2] for r in x]), *[pa.array([r[c] for r in x], pa.int32()) for c in (3, 4)], pa.array([odd[r[1]] for r in x])] for x in cut)
+        found = simhash_dedup._across(0.8)(pa.RecordBatch.from_arrays(x, ["key", "rep", "component", "n", "place", "odd"]) for x in cols)
+        pairs = {(b, a) for x in found for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+        want = {(i, j) for i, j in alike if i // 200 != j // 200}
+        assert want <= pairs
+    of, odd = sorted(pairs), [simhash_dedup.parities(x) for x in hashed]
+    cols = [pa.array(c) for k in (0, 1) for c in ([len(hashed[p[k]]) for p in of], [odd[p[k]] for p in of])]
+    left = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*of)] + cols, ["a", "b", "na", "odda", "nb", "oddb"])
+    assert want <= {(a, b) for x in simhash_dedup._may_be_alike(0.8)([left]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+
+
 # 3 toxicity
 
 

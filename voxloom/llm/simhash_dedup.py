@@ -226,41 +226,43 @@ def op10(spark, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Wider fingerprints for a lower similarity: the share of differing bits estimates the angle
-# between shingle sets, and sets with Jaccard similarity J have cosine 2J / (1 + J). They only
-# give candidates; each link is a pair whose shingle sets were compared.
+# Near-duplicates by the Jaccard similarity of sets of shingles. Wider fingerprints (the share of
+# differing bits estimates the angle between sets) only find large groups cheaply: each row meets a
+# few leaders. All other links come from prefixes, which lose none: two sets of n and m shingles of
+# that similarity have SIMILARITY / (1 + SIMILARITY) * (n + m) in common, so, sorted in one order, the
+# first of these is among the first n - SIMILARITY * n + 1 of one and m - SIMILARITY * m + 1 of the other.
 
 WIDE = 512
 WIDE_WORDS = 5
 #: Documents are near-duplicates from this Jaccard similarity of their sets of shingles on.
 SIMILARITY = 0.8
-#: Similarity 0.8 is an angle of 0.476, 77.6 of 512 bits on average; the rest is three deviations of the estimate.
+#: Bits in which a row may differ from its leader: similarity 0.8 is an angle of 0.476, 77.6 of 512 bits on average, and three deviations.
 WIDE_BITS = 102
 #: Bits of a band at least; more where there are more rows, so a key's rows don't grow with the corpus.
 BAND_BITS = 16
 #: Rows of a key, if bits were independent.
 BAND_ROWS = 16
-#: Pairs of that similarity that no band has, at most.
-MISSED = 0.01
 #: Bands and leaders of the first round, which leaves little of large groups.
 LEADER_BANDS, LEADERS = 16, 8
 #: A band's number stands above its bits in a key.
 BAND_SHIFT = 50
 #: Pairs of sets in one Arrow batch: a set may be as long as its document.
 ALIKE_BATCH = 256
+#: Parities of a set's hashes, for small sets and in rows of shingles; as many as its shingles or up to twice that
+#: for others. Sets differ in as many shingles at least as they do in these bits.
+PARITIES = 256
+#: Bytes of the sample of texts that frequent shingles are found in, and how many of them go last in the order; both only balance tasks.
+SAMPLE_BYTES, OFTEN = 16 << 20, 100_000
 _FAMILIES = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, WIDE // 64, dtype=np.uint64) | np.uint64(1)
 
 
-def band_shape(rows: int, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """(bits, bands): keys wide enough for so many rows, and bands enough for pairs of that similarity."""
-    width = max(BAND_BITS, math.ceil(math.log2(max(1, rows / BAND_ROWS))))
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return width, math.ceil(math.log(MISSED) / math.log1p(-(agree**width)))
+def band_width(rows: int) -> int:
+    """Bits of keys wide enough for so many rows."""
+    return max(BAND_BITS, math.ceil(math.log2(max(1, rows / BAND_ROWS))))
 
 
-def wide_bits(text: str, size: int = WIDE_WORDS) -> np.ndarray:
-    """WIDE bits over the distinct shingles: a mixing of each hash for every 64 bits, one bit set where most hashes have it."""
-    h = np.unique(shingle_hashes(text, size))
+def wide_bits(h: np.ndarray) -> np.ndarray:
+    """WIDE bits over the hashes of distinct shingles: a mixing of each hash for every 64 bits, one bit set where most hashes have it."""
     ones = np.zeros(WIDE, np.int64)
     for at in range(0, len(h), 1 << 13):
         part = h[at : at + (1 << 13), None] * _FAMILIES[None, :]
@@ -271,20 +273,72 @@ def wide_bits(text: str, size: int = WIDE_WORDS) -> np.ndarray:
     return 2 * ones > len(h)
 
 
-def _wide_prints(size: int):
+def least_common(n, m, least: float):
+    """Shingles that sets of n and m have in common at least if they have that similarity."""
+    return np.ceil(least / (1 + least) * (n + m) - 1e-9)
+
+
+def prefix(h: np.ndarray, often: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's sorted hashes, frequent ones (often is sorted) last in the order of their rank: one at
+    least is common to both of any two sets of that similarity."""
+    n = len(h) - math.ceil(least * len(h) - 1e-9) + 1
+    if not len(often):
+        return h[:n]
+    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+    return h[np.argsort(np.where(often[at] == h, rank[at], -1), kind="stable")[:n]]
+
+
+def parities(h: np.ndarray) -> bytes:
+    """Whether a set holds an odd number of hashes of each remainder: a power of two of them, so longer ones fold to shorter."""
+    n = max(PARITIES, 1 << (max(1, len(h)) - 1).bit_length())
+    return np.packbits(np.bincount((h % np.uint64(n)).astype(np.int64), minlength=n) & 1, bitorder="little").tobytes()
+
+
+def folded(raw: bytes, nbytes: int = PARITIES // 8) -> bytes:
+    """Those of the shorter length."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, nbytes), axis=0).tobytes()
+
+
+def _wide_prints(size: int, least: float, often_b):
+    """A row for each text: its words as a hash, fingerprint, and its set's size, prefix and parities."""
+
     def run(it):
         from xxhash import xxh3_64_intdigest
 
         for b in batches(it):
-            texts = b.column(2).to_pylist()
-            words = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
-            same = np.array([xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-            bits = np.packbits(np.array([wide_bits(x, size) for x in texts]).reshape(len(texts), WIDE), axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "key", "same", "bits"])
+            rows = []
+            for x in b.column(2).to_pylist():
+                h = np.unique(shingle_hashes(x, size))
+                same = np.uint64(xxh3_64_intdigest(b" ".join(x.encode("utf-8", "surrogatepass").lower().split()))).view(np.int64)
+                bits = np.packbits(wide_bits(h), bitorder="little").tobytes()
+                rows.append((same, bits, len(h), prefix(h, *often_b.value, least).tobytes(), parities(h)))
+            kinds = pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc", "key", "same", "bits", "n", "grams", "odd"])
+
+    return run
+
+
+def _shingles(size: int):
+    def run(it):
+        for b in batches(it):
+            h = [np.zeros(0, np.uint64), *[np.unique(shingle_hashes(x, size)) for x in b.column(0).to_pylist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["gram"])
 
     return run
 
 
+def frequent(text: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a bounded sample of texts (doc, key, text), sorted, and their ranks from the rarest on."""
+    nbytes = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if nbytes > SAMPLE_BYTES:
+        text = text.filter(F.pmod(F.xxhash64("doc", "key"), F.lit(1 << 30)) < int(SAMPLE_BYTES / nbytes * (1 << 30)) + 1)
+    per = text.select("text").mapInArrow(_shingles(size), "gram long").groupBy("gram").count().filter("count > 1")
+    rows = per.orderBy(F.desc("count"), "gram").limit(OFTEN).collect()
+    h = np.array([r.gram for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(h) - 1 - np.arange(len(h)))[order]
+
+
 def _chosen(bands: int, width: int) -> np.ndarray:
     """The places of each band's bits, fixed ones out of all."""
     return np.array([np.random.Generator(np.random.PCG64([SEED, k])).choice(WIDE, width, replace=False) for k in range(bands)])
@@ -306,16 +360,12 @@ def _bands(bands: int, width: int):
     return run
 
 
-def _wide_pairs(limit: int, n_pivots: int, leaders: int, bands: int, width: int):
-    """Pairs of one key within limit bits: each row with its leader, for so many leaders a key; all pairs if leaders is 0,
-    each in the first band that it shares alone."""
-    masks = np.zeros((bands, WIDE), np.uint8)
-    masks[np.arange(bands)[:, None], _chosen(bands, width)] = 1
-    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
-    table = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (n_pivots, WIDE // 64), dtype=np.uint64)
+def _pair_batch(rep, i, j):
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
+
 
-    def batch(rep, i, j):
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
+def _led(limit: int, leaders: int):
+    """Pairs of one key within limit bits: each row with its leader, for so many leaders a key."""
 
     def by_leaders(key, fp, rep):
         at = np.arange(len(key))
@@ -324,50 +374,112 @@ def _wide_pairs(limit: int, n_pivots: int, leaders: int, bands: int, width: int)
             lead = at[first][np.cumsum(first) - 1]
             near = ~first & (np.bitwise_count(fp[at] ^ fp[lead]).sum(1, dtype=np.int16) <= limit)
             if near.any():
-                yield batch(rep, at[near], lead[near])
+                yield _pair_batch(rep, at[near], lead[near])
             at = at[~first & ~near]
             if not len(at):
                 break
 
-    def by_all(key, fp, rep):
-        dist = np.stack([np.bitwise_count(fp ^ p[None, :]).sum(1, dtype=np.int16) for p in table], 1)
-        at, shift = np.arange(len(key)), 0
-        while len(at):
+    def run(it):
+        held, n = [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            held.append((b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, WIDE // 64), b.column(2).to_numpy()))
+            n += b.num_rows
+            if n >= BUFFER_ROWS:
+                key, fp, rep = (np.concatenate(c) for c in zip(*held))
+                yield from by_leaders(key, fp, rep)
+                tail = np.flatnonzero(key == key[-1])[:64]
+                held, n = [(key[tail], fp[tail], rep[tail])], 0
+        if held:
+            yield from by_leaders(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def _grams(it):
+    """A row for each shingle of a set's prefix, with its place there; rows come as (rep, component, n, grams, odd)."""
+    for b in batches(it):
+        grams = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+        sizes, odds = np.array([len(x) for x in grams]), pa.array([folded(x) for x in b.column(4).to_pylist()], pa.binary())
+        of = np.repeat(np.arange(len(grams)), sizes)
+        place, grams = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.concatenate(grams)
+        for a in range(0, len(of), 1 << 16):
+            k = pa.array(of[a : a + (1 << 16)])
+            rep, component, n, odd = (c.take(k) for c in (b.column(0), b.column(1), b.column(2), odds))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 16)]), rep, component, n, pa.array(place[a : a + (1 << 16)].astype(np.int32)), odd], ["key", "rep", "component", "n", "place", "odd"])
+
+
+def _across(least: float):
+    """Pairs of one shingle from different components that may have that similarity: all that have it and share no earlier shingle."""
+
+    def flush(key, rep, component, n, place, odd):
+        left = n - place
+
+        def close(i, j):
+            on = component[i] != component[j]
+            i, j = i[on], j[on]
+            need = least_common(n[i], n[j], least)
+            on = (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & (np.minimum(left[i], left[j]) >= need)
+            i, j, need = i[on], j[on], need[on]
+            on = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * need
+            return i[on], j[on]
+
+        large, rest = _large_groups(key)
+        at, shift, found = np.flatnonzero(rest), 0, []
+        for a, z in large:  # the largest component's rows meet those of others alone
+            names, of = np.unique(component[a:z], return_inverse=True)
+            apart = a + np.flatnonzero(of != np.bincount(of).argmax())
+            everyone = np.arange(a, z)
+            for k in apart.tolist():
+                found.append(close(np.full(z - a, k), everyone))
+        while True:
             shift += 1
             at = at[at + shift < len(key)]
             at = at[key[at] == key[at + shift]]
+            if not len(at):
+                break
             for a in range(0, len(at), 1 << 16):
-                i = at[a : a + (1 << 16)]
-                j = i + shift
-                near = np.abs(dist[i] - dist[j]).max(1) <= limit
-                i, j = i[near], j[near]
-                apart = fp[i] ^ fp[j]
-                true = np.bitwise_count(apart).sum(1, dtype=np.int16) <= limit
-                i, j, apart = i[true], j[true], apart[true]
-                for at_ in range(0, len(i), 4096):
-                    a_, b_, x = i[at_ : at_ + 4096], j[at_ : at_ + 4096], apart[at_ : at_ + 4096]
-                    shared = np.ones((len(x), bands), bool)
-                    for word in range(x.shape[1]):
-                        shared &= (x[:, word, None] & masks[None, :, word]) == 0
-                    once = shared.argmax(1) == key[a_] >> BAND_SHIFT
-                    if once.any():
-                        yield batch(rep, a_[once], b_[once])
+                found.append(close(at[a : a + (1 << 16)], at[a : a + (1 << 16)] + shift))
+        if found:
+            i, j = (np.concatenate(x) for x in zip(*found))
+            if len(i):
+                pairs = np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], 1), axis=0)
+                for a in range(0, len(pairs), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + (1 << 16), 0].copy()), pa.array(pairs[a : a + (1 << 16), 1].copy())], ["a", "b"])
 
     def run(it):
         held, n = [], 0
         for b in it:
             if not b.num_rows:
                 continue
-            held.append((b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, WIDE // 64), b.column(2).to_numpy()))
+            odd = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            held.append((*[b.column(c).to_numpy() for c in range(3)], *[b.column(c).to_numpy().astype(np.int64) for c in (3, 4)], odd))
             n += b.num_rows
             if n >= BUFFER_ROWS:
-                key, fp, rep = (np.concatenate(c) for c in zip(*held))
-                yield from (by_leaders if leaders else by_all)(key, fp, rep)
-                tail = np.flatnonzero(key == key[-1])
-                tail = tail[:64] if leaders else tail
-                held, n = [(key[tail], fp[tail], rep[tail])], 0
+                cols = [np.concatenate(c) for c in zip(*held)]
+                whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+                yield from flush(*(c[:whole] for c in cols))
+                held = [tuple(c[whole:].copy() for c in cols)]
+                n = 0
         if held:
-            yield from (by_leaders if leaders else by_all)(*(np.concatenate(c) for c in zip(*held)))
+            yield from flush(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def _may_be_alike(least: float):
+    """The pairs (a, b, n and parities of a, those of b) that differ in no more parities than such sets do in shingles."""
+
+    def run(it):
+        for b in batches(it):
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in (2, 4))
+            most, near = n + m - 2 * least_common(n, m, least), []
+            for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist()):
+                k = min(len(x), len(y))
+                near.append((int.from_bytes(folded(x, k)) ^ int.from_bytes(folded(y, k))).bit_count())
+            on = pa.array(np.array(near) <= most)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], ["a", "b"])
 
     return run
 
@@ -419,31 +531,32 @@ def verified(pairs: DataFrame, classes: DataFrame, text: DataFrame, scratch: Scr
     return out
 
 
-def wide_links(classes: DataFrame, text: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """classes (rep, doc, key, bits), texts (doc, key, text) -> links (a, b) of near-duplicates. Of what they
-    connect the smallest doc stays; no two that stay are a pair of near-duplicates among the candidates.
+def wide_links(classes: DataFrame, text: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """classes (rep, doc, key, bits, n, grams, odd), texts (doc, key, text) -> links (a, b) that connect all near-duplicates.
 
-    The first round compares rows with leaders of their bands, so a group of near copies costs
-    its size; the second one compares all pairs of what it leaves.
+    The first round compares rows with leaders of their bands, so a group of near copies costs its
+    size. The second one compares all rows that share a shingle of their prefixes, but for those that the
+    first round has connected already.
     """
-    width, bands = band_shape(classes.count())
-
-    def pairs(some, bands, leaders, name):
-        spread = some.select("rep", "bits").mapInArrow(_bands(bands, width), "key long, bits binary, rep long")
-        found = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_wide_pairs(limit, n_pivots, leaders, bands, width), "a long, b long")
-        return scratch.table(found.distinct(), name)
-
-    first = verified(pairs(classes, LEADER_BANDS, LEADERS, "led"), classes, text, scratch, "led", size)
+    width = band_width(classes.count())
+    spread = classes.select("rep", "bits").mapInArrow(_bands(LEADER_BANDS, width), "key long, bits binary, rep long")
+    led = spread.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_led(limit, LEADERS), "a long, b long")
+    first = verified(scratch.table(led.distinct(), "led"), classes, text, scratch, "led", size, least)
     comp = components(first, scratch, "led")
-    of = classes.join(comp, classes["rep"] == comp["id"], "left").select(F.coalesce("component", "rep").alias("component"), "doc", "key", "rep", "bits")
-    left = scratch.table(of.groupBy("component").agg(F.min(F.struct("doc", "key", "rep", "bits")).alias("p")).select("p.rep", "p.bits"), "left")
-    return first.unionByName(verified(pairs(left, bands, 0, "all"), classes, text, scratch, "all", size))
+    of = classes.join(comp, classes["rep"] == comp["id"], "left").select("rep", F.coalesce("component", "rep").alias("component"), "n", "grams", "odd")
+    dealt = of.mapInArrow(_grams, "key long, rep long, component long, n int, place int, odd binary").repartition("key").sortWithinPartitions("key")
+    across = scratch.table(dealt.mapInArrow(_across(least), "a long, b long").distinct(), "across")
+    scratch.free()
+    odd = lambda c: of.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"odd{c}"))
+    both = across.join(odd("a").hint("merge"), "a").join(odd("b").hint("merge"), "b").select("a", "b", "na", "odda", "nb", "oddb")
+    across = scratch.table(both.mapInArrow(_may_be_alike(least), "a long, b long"), "may")
+    return first.unionByName(verified(across, classes, text, scratch, "across", size, least))
 
 
-def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, n_pivots: int = N_PIVOTS) -> DataFrame:
+def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size: int = WIDE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """docs with all its columns (but those named with two underscores): of each group of near-duplicates the smallest doc_id stays, once.
 
-    Near-duplicates have SIMILARITY or more; groups are chains of them. Texts with the same words
+    Near-duplicates have that similarity or more; groups are chains of them, and no pair is left out. Texts with the same words
     are one class. Null texts and texts without words are left as they are; rows without doc_id stay
     if nothing with an id is like them; rows that agree in doc_id and text stay once; very long texts
     are handled whole, their shingles a batch of hashes at a time; an empty table gives no rows.
@@ -452,11 +565,12 @@ def one_of_each(docs: DataFrame, scratch: Scratch, limit: int = WIDE_BITS, size:
     worded = "[^\\x20\\x09-\\x0D]"
     doc, key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
     text = doc_text(docs).select(doc.alias("doc"), key.alias("key"), "text").filter(F.col("text").rlike(worded))
-    prints = scratch.table(text.mapInArrow(_wide_prints(size), "doc long, key long, same long, bits binary"), "prints")
+    often = docs.sparkSession.sparkContext.broadcast(frequent(text, size))
+    prints = scratch.table(text.mapInArrow(_wide_prints(size, least, often), "doc long, key long, same long, bits binary, n int, grams binary, odd binary"), "prints")
     first = F.min(F.struct("doc", "key"))
-    classes = prints.groupBy("same", "bits").agg(first.alias("p")).select("same", "bits", "p.doc", "p.key")
+    classes = prints.groupBy("same", "bits").agg(first.alias("p"), *[F.first(c).alias(c) for c in ("n", "grams", "odd")]).select("same", "bits", "p.doc", "p.key", "n", "grams", "odd")
     classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers of their own, which no two classes share
-    comp = components(wide_links(classes, text, scratch, limit, size, n_pivots), scratch, "wide")
+    comp = components(wide_links(classes, text, scratch, limit, size, least), scratch, "wide")
     of = classes.join(comp, classes["rep"] == comp["id"], "left").select("doc", "key", F.coalesce("component", "rep").alias("component"))
     keep = of.groupBy("component").agg(first.alias("p")).select("p.doc", "p.key")
     gone = prints.select("doc", "key").distinct().join(keep, ["doc", "key"], "left_anti").select(F.col("doc").alias("__doc"), F.col("key").alias("__key"))
