@@ -775,6 +775,28 @@ def test_tables_are_drawn_from_their_conditional():
         assert np.abs(np.bincount(t, minlength=c + 1)[1:] / len(t) - p).max() < (0.02 if len(t) == n else 0.06)
 
 
+def test_many_customers_are_drawn_as_few(monkeypatch):
+    """The draws are the same whether Stirling numbers come from the table or from integrals, for any number of customers."""
+    rng = np.random.Generator(np.random.PCG64(41))
+    for pairs in ((60, 20), (95, 3)):
+        d = lm_scoring.Discounts(pairs, (40, 30))
+        for top, total in ((300, 900), (3000, 10**7)):
+            c = np.append(rng.integers(41, top, 24), [41, top])
+            t = rng.integers(1, 40, len(c))
+            own, root = t + rng.integers(0, 10 ** rng.integers(1, 6, len(c))), t + rng.integers(0, 10 ** rng.integers(1, 6, len(c)))
+            u, w = (rng.integers(0, 1 << 56, len(c), dtype=np.uint64) for _ in range(2))
+            got = []
+            for exact in (top, 40):
+                monkeypatch.setattr(lm_scoring, "EXACT", exact)
+                got.append(lm_scoring.reseat(c, t, own, root, total + int(root.max()), d, u, w, 3).tolist())
+            assert got[0] == got[1] and len(set(got[0])) > 3
+        for n in (41, 3000):
+            t = np.unique(np.linspace(1, n, 60).astype(int))
+            want = lm_scoring.stirling(3000, d.d1)[n, t] - math.lgamma(n + 1) + [math.lgamma(k + 1) + k * math.log(d.d1) for k in t.tolist()]
+            assert np.abs(lm_scoring.log_coefficient(n, t, d.d1) - want).max() < 1e-4
+    assert 50 < lm_scoring.draw_tables(10**8, 10**5, 10**4, 10**7, d, 0.5) < 10**4
+
+
 def test_packed_cells():
     rng = np.random.Generator(np.random.PCG64(33))
     hu, hw = (rng.integers(0, 1 << 56, 40, dtype=np.uint64)[rng.integers(0, 40, 900)] for _ in range(2))
