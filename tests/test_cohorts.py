@@ -1,6 +1,9 @@
 """Checks of shapes and files, splines against dense sums, and cohorts against one subject at a time."""
 
+import struct
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +189,26 @@ def test_histogram_of_values_that_are_none(spark):
     v = [1.0, 2.0, 3.0, 0.0, 0.0, None, float("nan"), float("inf")]
     got = C.histogram(spark.createDataFrame([(x,) for x in v], "value double"), 2).collect()
     assert sorted((r.bin, r.lo, r.n, r.excluded) for r in got) == [(0, 1.0, 1, 2), (1, 2.0, 2, 2)]
+
+
+def test_streamlines_leave_in_bounded_batches():
+    """Thousands of short streamlines fill few batches, a long one goes over several; numbers and places stay."""
+    size = np.array([2, 1, 3] * 4000 + [2 * I.POINTS])
+    points = RNG.standard_normal((size.sum(), 3)).astype("f4")
+    trk = bytearray(1000)
+    trk[:5] = b"TRACK"
+    struct.pack_into("<3f", trk, 12, 2, 2, 2)
+    struct.pack_into("<2h", trk, 36, 1, 0)
+    struct.pack_into("<h", trk, 238, 2)
+    struct.pack_into("<16f", trk, 440, *np.eye(4).ravel())
+    struct.pack_into("<i", trk, 996, 1000)
+    extended = np.hstack([points, np.ones((len(points), 1), "f4")])
+    trk = bytes(trk) + b"".join(struct.pack("<i", len(p)) + p.tobytes() + struct.pack("<2f", 7, 8) for p in np.split(extended, np.cumsum(size)[:-1]))
+    for raw, want in ((I.tck_of(points, size), points), (trk, points / 2 - 0.5)):
+        got = list(I._streamlines([pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([raw])], ["path", "content"])]))
+        assert len(got) == -(-len(points) // I.POINTS) and max(b.num_rows for b in got) <= I.POINTS
+        t = pa.Table.from_batches(got)
+        assert np.array_equal(t["sl"], np.repeat(np.arange(len(size)), size)) and np.array_equal(t["ord"], np.concatenate([np.arange(n) for n in size]))
+        assert np.allclose(np.stack([t[c] for c in ("px", "py", "pz")], 1), want)
+    with pytest.raises(ValueError):
+        I.parse_trk(trk[:-16])

@@ -629,7 +629,7 @@ def tractogram_scan(spark, sf):
         order = np.lexsort((part, number, key))
         start = np.flatnonzero(np.diff(key[order], prepend=-1))
         points = np.stack([number[order], part[order] % 100, np.zeros(len(order))], 1)
-        return pa.table({"path": [str(t["file"][0].as_py())], "content": [I.tck_bytes(np.split(points, start[1:]))]})
+        return pa.table({"path": [str(t["file"][0].as_py())], "content": [I.tck_of(points, np.diff(start, append=len(order)))]})
 
     back = I.streamlines(lines.groupBy("file").applyInArrow(pack, "path string, content binary"))
     return back.select(F.col("path").cast("long").alias("file"), "sl", "ord", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
