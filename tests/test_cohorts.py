@@ -212,3 +212,19 @@ def test_streamlines_leave_in_bounded_batches():
         assert np.allclose(np.stack([t[c] for c in ("px", "py", "pz")], 1), want)
     with pytest.raises(ValueError):
         I.parse_trk(trk[:-16])
+
+
+def test_no_join_deals_rows_by_subject_alone(spark):
+    """A few subjects with many points each: choosing them must not put a subject's points in one task."""
+    from conftest import SF
+
+    from voxloom.plans import queries
+
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.coupling_cohort(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    chosen = [line for line in plan.splitlines() if "Join" in line and "LeftSemi" in line]
+    assert chosen and all("BroadcastHashJoin" in line for line in chosen)

@@ -160,7 +160,7 @@ def extract_cohort(subjects: DataFrame, bold: DataFrame, points: DataFrame, conf
         counted = fine.join(found, "subject", "left").withColumn("k", F.coalesce("k", F.lit(0)))
         errors = errors.unionByName(counted.filter(F.col("k") != regions).select("subject", F.concat("k", F.lit(f" of {regions} regions")).alias("reason")))
         fine = counted.filter(F.col("k") == regions).select("subject")
-    own = lambda df: df.join(fine, "subject", "left_semi")
+    own = lambda df: df.join(F.broadcast(fine), "subject", "left_semi")  # noqa: E731  ids alone go out: a join by subject would put each subject's points in one task
     return extract_subject(own(bold), own(points), config, ["subject"]), errors
 
 
