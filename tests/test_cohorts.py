@@ -228,3 +228,20 @@ def test_no_join_deals_rows_by_subject_alone(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
     chosen = [line for line in plan.splitlines() if "Join" in line and "LeftSemi" in line]
     assert chosen and all("BroadcastHashJoin" in line for line in chosen)
+
+
+def test_pooled_percentiles_are_exact_and_spread_out(spark):
+    """Any spread of values against NumPy; no task holds all values of a cohort, as the percentile aggregate does."""
+    wide = np.concatenate([RNG.standard_normal(3000) * 10.0 ** RNG.integers(-300, 300, 3000), [1e308, -1e308, 5e-324]])
+    cases = [RNG.standard_normal(5001), wide, np.repeat([1.0, 2.0, 2.5], [10, 400, 30]), 1 + RNG.random(2000) * 1e-12, np.array([3.0]), np.array([-2.0, 7.0])]
+    want = {"a": 0.02, "b": 0.5, "c": 0.98, "d": 0.0, "e": 1.0}
+    for x in cases:
+        got = C.pooled_percentiles(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "value double"), F.col("value"), want).first()
+        for k, f in want.items():
+            s, at = np.sort(x), f * (len(x) - 1)
+            low, high = s[int(np.floor(at))], s[int(np.ceil(at))]
+            assert got[k] == (low if low == high else (np.ceil(at) - at) * low + (at - np.floor(at)) * high), (k, len(x))
+    none = spark.createDataFrame([(0.0,), (None,), (float("nan"),)], "value double")
+    assert [tuple(C.display_range(none, s).first()) for s in (False, True)] == [(None, None)] * 2
+    plan = C.display_range(spark.createDataFrame([(1.0,)], "value double"))._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan

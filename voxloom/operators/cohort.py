@@ -261,9 +261,49 @@ def montage(mask: DataFrame, rows: int = 3, cols: int = 8) -> DataFrame:
     return ends.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tile"), "a", "b").select("tile", F.floor(F.col("a") + F.col("tile") * (F.col("b") - F.col("a")) / (n - 1)).cast("int").alias("z"))
 
 
+def pooled_percentiles(values: DataFrame, value: Column, fractions: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles (name: fraction) over all values, linear between neighbours; null where there is none.
+
+    Values are counted in buckets of a hundredth of their logarithm, then in equal parts of the buckets that hold the wanted ranks;
+    only the values of those parts are put in order. Bucket and part never fall as the value rises, so each is a range of values
+    and no rank is lost. Four ranges at most go out to the rows; the rows are read once for each step and never gathered."""
+    v, n, log = F.col("v"), F.count("*").alias("n"), F.floor((F.ln(F.abs("v")) + 800) * 100)
+    rows = values.select(value.cast("double").alias("v")).filter("v is not null")
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(f)).alias("f")) for k, f in fractions.items()])
+    ranks = F.flatten(F.transform(each, lambda w: F.transform(F.array_distinct(F.array(F.floor(w["f"] * (F.col("total") - 1)), F.ceil(w["f"] * (F.col("total") - 1)))), lambda r: F.struct(w["name"].alias("name"), (w["f"] * (F.col("total") - 1)).alias("pos"), r.alias("rank")))))
+
+    def holding(counted: DataFrame, of: list[str], order: str) -> DataFrame:
+        """Rows that hold wanted ranks, with those: base comes to be the number of values below."""
+        below = F.col("base") + F.sum("n").over(W.partitionBy(*of).orderBy(order)) - F.col("n")
+        own = F.filter("wanted", lambda w: (w["rank"] >= F.col("base")) & (w["rank"] < F.col("base") + F.col("n")))
+        return counted.withColumn("base", below).withColumn("wanted", own).filter(F.size("wanted") > 0)
+
+    def within(ranges: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ranges.select("lo", "hi", "base", "wanted")), (v >= F.col("lo")) & (v <= F.col("hi")))
+
+    ends = [F.min("v").alias("lo"), F.max("v").alias("hi")]
+    seen = rows.groupBy(F.when(v > 0, log).when(v < 0, -log).otherwise(F.lit(0).cast("long")).alias("b")).agg(n, *ends)  # 231 rows a power of ten at most
+    seen = seen.withColumn("total", F.sum("n").over(W.partitionBy())).withColumn("base", F.lit(0).cast("long")).withColumn("wanted", ranks)
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096)).otherwise(F.lit(0).cast("long"))
+    parts = within(holding(seen, [], "b")).groupBy(F.col("lo").alias("bucket"), "base", "wanted", part.alias("c")).agg(n, *ends)
+    last = within(holding(parts, ["bucket"], "c")).groupBy(F.col("lo").alias("part"), "base", "wanted", "v").agg(n)
+    found = holding(last, ["part"], "v").select("v", F.explode("wanted").alias("w")).select("v", "w.*")
+    out = []
+    for k in fractions:
+        own = F.col("name") == k
+        pos, low, high = F.max(F.when(own, F.col("pos"))), F.min(F.when(own, v)), F.max(F.when(own, v))
+        out.append(F.when(low == high, low).otherwise((F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high).alias(k))
+    return found.agg(*out)
+
+
 def display_range(values: DataFrame, symmetric: bool = False, by: list[str] | None = None) -> DataFrame:
-    """(by, low, high) of each map's usable values: exact percentiles of one grid's values."""
-    v, maps = usable(), values.groupBy(*(by or []))
+    """(by, low, high) of each map's usable values: exact percentiles of one grid's values; without by, of all values, however many."""
+    v = usable()
+    if not by:
+        if symmetric:
+            return pooled_percentiles(values, F.abs(v), {"high": 0.99}).select((-F.col("high")).alias("low"), "high")
+        return pooled_percentiles(values, v, {"low": 0.02, "high": 0.98})
+    maps = values.groupBy(*by)
     if symmetric:
         top = F.percentile(F.abs(v), 0.99)
         return maps.agg((-top).alias("low"), top.alias("high"))
